@@ -49,9 +49,20 @@ def section_pairs(c) -> Column:
 
 def section_map(c) -> Column:
     """Title -> stripped body; of sections with one title the last counts."""
-    pairs = section_pairs(c)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["title"] == p["title"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["title"], stripped(p["body"]))))
+    # the pairs are worked out once, as the only element of an array that a lambda takes apart
+    later = lambda ps, i: F.slice(ps, i + 2, F.greatest(F.size(ps), F.lit(1)))
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(later(ps, i), lambda q: q["title"] == p["title"]))
+    of = lambda ps: F.map_from_entries(F.transform(last(ps), lambda p: F.struct(p["title"], stripped(p["body"]))))
+    return F.element_at(F.transform(F.array(section_pairs(c)), of), 1)
+
+
+def last_section(c, title: str) -> Column:
+    """The last section of exactly this title, stripped; null where there is none."""
+    return stripped_or_null(F.try_element_at(F.filter(section_pairs(c), lambda p: p["title"] == title), F.lit(-1))["body"])
+
+
+def stripped_or_null(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def first_section(sections: Column, *names: str, longer_than: int = 5) -> Column:
