@@ -36,14 +36,23 @@ MAX_FREQUENT = 1 << 17
 COUNT_AT_ONCE, SEND_AT_ONCE = 4_000_000, 1_500_000
 #: Lists up to this size emit all their pairs; larger ones a star and this many hash orders first.
 SMALL_LIST, ORDERS = 12, 4
+#: Ids of documents to verify (16 bytes each) are broadcast up to so many, and joined by shuffle beyond.
+SEND_WANTED = 400_000
+#: Places of elements in their set, as fractions of its size, are told in so many steps; a prefix ends below 256.
+PLACES = 1024
 
 
 def least_overlap(size: np.ndarray) -> np.ndarray:
     return (4 * size + 4) // 5
 
 
-def can_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+def can_link(n1: np.ndarray, q1: np.ndarray, n2: np.ndarray, q2: np.ndarray) -> np.ndarray:
+    """Whether two sizes allow a link, if the first element in common stands at these places or later.
+
+    Places are in units of size / PLACES, rounded down. A pair with an earlier common element is met in that one's list.
+    """
+    left = np.minimum(n1 - q1 * n1 // PLACES, n2 - q2 * n2 // PLACES)
+    return (5 * np.minimum(n1, n2) >= 4 * np.maximum(n1, n2)) & (9 * left >= 4 * (n1 + n2))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -105,18 +114,18 @@ def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _post(frequent: np.ndarray, buckets: int):
     """Postings of prefix elements, packed by bucket, and one member row per document."""
 
-    def send(tokens, groups, sizes) -> pa.RecordBatch:
-        t, g, n = (np.concatenate(x) for x in (tokens, groups, sizes))
+    def send(tokens, groups, sizes, places) -> pa.RecordBatch:
+        t, g, n, q = (np.concatenate(x) for x in (tokens, groups, sizes, places))
         b = (mix(t) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(b, kind="stable")
-        t, g, n, b = t[order], g[order], n[order], b[order]
+        t, g, n, q, b = t[order], g[order], n[order], q[order], b[order]
         at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         ends = np.append(at[1:], len(b))
-        blobs = [t[x:y].tobytes() + g[x:y].tobytes() + n[x:y].astype(np.int32).tobytes() for x, y in zip(at, ends, strict=True)]
+        blobs = [t[x:y].tobytes() + g[x:y].tobytes() + n[x:y].tobytes() + q[x:y].tobytes() for x, y in zip(at, ends, strict=True)]
         return _rows(bucket=b[at], kind=np.zeros(len(at), np.int32), blob=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, groups, sizes, held = [], [], [], 0
+        tokens, groups, sizes, places, held = [], [], [], [], 0
         for ids, h, off in _sets(batches):
             n = np.diff(off)
             row = np.repeat(np.arange(len(ids)), n)
@@ -138,76 +147,96 @@ def _post(frequent: np.ndarray, buckets: int):
             tokens.append(prefix)
             groups.append(np.repeat(g, p))
             sizes.append(np.repeat(n, p).astype(np.int32))
+            places.append(np.minimum(255, (np.arange(len(prefix)) - np.repeat(p_off[:-1], p)) * PLACES // np.repeat(n, p)).astype(np.uint8))
             held += len(prefix)
             yield _rows(bucket=(mix(digests.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), kind=np.ones(len(ids), np.int32), doc_id=ids, digest=digests, g=gs, n=n.astype(np.int32), sig=sigs)
             if held >= SEND_AT_ONCE:
-                yield send(tokens, groups, sizes)
-                tokens, groups, sizes, held = [], [], [], 0
+                yield send(tokens, groups, sizes, places)
+                tokens, groups, sizes, places, held = [], [], [], [], 0
         if held:
-            yield send(tokens, groups, sizes)
+            yield send(tokens, groups, sizes, places)
 
     return run
 
 
 def list_pairs(members: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one list: all of a small one; of a larger one a star and neighbours in a few hash orders."""
+    """Index pairs of a large list: a star, and neighbours in a few hash orders."""
     d = len(members)
-    if d <= SMALL_LIST:
-        i, j = np.triu_indices(d, 1)
-    else:
-        hub = np.lexsort((members, sizes))[d // 2]
-        i, j = [np.full(d, hub)], [np.arange(d)]
-        for k in range(ORDERS):
-            o = np.argsort(mix(members + np.uint64(k + 1)))
-            i.append(o)
-            j.append(np.roll(o, 1))
-        i, j = np.concatenate(i), np.concatenate(j)
-    ok = (members[i] != members[j]) & can_link(sizes[i].astype(np.int64), sizes[j].astype(np.int64))
-    return i[ok], j[ok]
+    hub = np.lexsort((members, sizes))[d // 2]
+    i, j = [np.full(d, hub)], [np.arange(d)]
+    for k in range(ORDERS):
+        o = np.argsort(mix(members + np.uint64(k + 1)))
+        i.append(o)
+        j.append(np.roll(o, 1))
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _unpacked(blobs: list[bytes], *kinds) -> list[np.ndarray]:
+    """The arrays that each blob holds one after the other, joined over the blobs."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for blob in blobs:
+        m, at = len(blob) // width, 0
+        for k, kind in enumerate(kinds):
+            out[k].append(np.frombuffer(blob, kind, m, at))
+            at += m * np.dtype(kind).itemsize
+    return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True)]
 
 
 def _pairs_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From all postings of a partition: kind 0 candidate group pairs (digest, g), kind 2 members of large lists;
-    member rows (kind 1) pass."""
-    ts, gs, ns = [], [], []
+    """From all postings of a partition: kind 0 candidate group pairs, kind 2 large lists; member rows (kind 1) pass."""
+    blobs = []
     for b in batches:
         kind = b.column(1).to_numpy()
-        for blob in b.column(2).filter(pa.array(kind == 0)).to_pylist():
-            m = len(blob) // 20
-            ts.append(np.frombuffer(blob, np.uint64, m))
-            gs.append(np.frombuffer(blob, np.uint64, m, 8 * m))
-            ns.append(np.frombuffer(blob, np.int32, m, 16 * m))
+        blobs += b.column(2).filter(pa.array(kind == 0)).to_pylist()
         if (kind == 1).any():
             yield b.filter(pa.array(kind == 1))
-    if not ts:
+    if not blobs:
         return
-    t, g, n = np.concatenate(ts), np.concatenate(gs), np.concatenate(ns)
-    del ts, gs, ns
+    t, g, n, q = _unpacked(blobs, np.uint64, np.uint64, np.int32, np.uint8)
+    del blobs
     order = np.lexsort((g, t))
-    t, g, n = t[order], g[order], n[order]
+    t, g, n, q = t[order], g[order], n[order].astype(np.int64), q[order].astype(np.int64)
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-    t, g, n = t[new], g[new], n[new]
+    t, g, n, q = t[new], g[new], n[new], q[new]
     at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     d = np.diff(np.append(at, len(t)))
     left, right = [], []
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        ok = can_link(n[i], q[i], n[j], q[j]) & (i != j)
+        i, j = g[i[ok]], g[j[ok]]
+        left.append(np.minimum(i, j))
+        right.append(np.maximum(i, j))
+
     for size in range(2, SMALL_LIST + 1):  # all lists of one size at once
         first = at[d == size]
         for x in range(size) if len(first) else ():
             for y in range(x + 1, size):
-                ok = can_link(n[first + x].astype(np.int64), n[first + y].astype(np.int64))
-                left.append(g[first[ok] + x])
-                right.append(g[first[ok] + y])
-    for x, y in zip(at[d > SMALL_LIST], (at + d)[d > SMALL_LIST], strict=True):
+                meet(first + x, first + y)
+    for x, y in zip(at[d > SMALL_LIST].tolist(), (at + d)[d > SMALL_LIST].tolist(), strict=True):
         i, j = list_pairs(g[x:y], n[x:y])
-        left.append(np.minimum(g[x:y][i], g[x:y][j]))
-        right.append(np.maximum(g[x:y][i], g[x:y][j]))
-        yield _rows(kind=np.full(y - x, 2, np.int32), digest=t[x:y].view(np.int64), g=g[x:y].view(np.int64), n=n[x:y])
+        meet(x + i, x + j)
+        yield _rows(kind=[2], digest=t[x : x + 1].view(np.int64), blob=[g[x:y].tobytes() + n[x:y].astype(np.int32).tobytes() + q[x:y].astype(np.uint8).tobytes()])
     if left:
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
         for s in range(0, len(pairs), 100_000):
-            p = np.ascontiguousarray(pairs[s : s + 100_000].T).view(np.int64)
-            yield _rows(kind=np.zeros(len(p[0]), np.int32), digest=p[0], g=p[1])
+            p = np.ascontiguousarray(pairs[s : s + 100_000].T)
+            yield _rows(kind=[0], blob=[p[0].tobytes() + p[1].tobytes()])
+
+
+def _group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for blob in b.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked([blob], np.int64, np.int64)], ["ga", "gb"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for key, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            g, n, q = _unpacked([blob], np.int64, np.int32, np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), key)), pa.array(g), pa.array(n.astype(np.int64)), pa.array(q.astype(np.int64))], ["t", "g", "n", "q"])
 
 
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,19 +270,17 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     maybe = maybe.join(sized("a"), "a").join(sized("b"), "b").select("a", "na", "sa", "b", "nb", "sb")
     maybe = cut(maybe.mapInArrow(_may_link, "a long, b long"))
     wanted = maybe.select(F.col("a").alias("digest")).union(maybe.select("b")).distinct().join(nodes, "digest").select(F.col("rep").alias("doc_id"), "digest")
+    wanted = cut(wanted)
+    if wanted.count() <= SEND_WANTED:
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "doc_id").select("digest", "text")
     sets = cut(texts.mapInArrow(_set_rows, "digest long, elements binary").dropDuplicates(["digest"]))
+    del texts, wanted
+    release(docs.sparkSession)
     full = lambda x: sets.select(F.col("digest").alias(x), F.col("elements").alias(f"e{x}"))
     return cut(maybe.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ea", "eb").mapInArrow(_verify, "a long, b long"))
 
 
-def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Digest pairs of group pairs: every member of either group with the other's leader."""
-    g = lambda x, only: members.where(only).select(F.col("g").alias(f"g{x}"), F.col("digest").alias(x))
-    first = pairs.join(g("a", "true"), "ga").join(g("b", "leader"), "gb").select("a", "b")
-    return first.union(pairs.join(g("a", "leader"), "ga").join(g("b", "true"), "gb").select("a", "b"))
-
-
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of docs (doc_id long, text string).
 
@@ -267,7 +294,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     top = counts.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas()["h"].to_numpy(np.int64)
     frequent = np.sort(top.view(np.uint64))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = docs.mapInArrow(_post(frequent, 1 << 20), POSTED).repartition(parts, "bucket")
+    posted = docs.mapInArrow(_post(frequent, 4 * parts), POSTED).repartition(parts, "bucket")
     found = cut(posted.mapInArrow(_pairs_of_lists, POSTED))
     del posted, counts
     release(spark)
@@ -278,39 +305,44 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = nodes.select("g", "digest", F.lag("digest").over(order).alias("p1"), F.first("digest").over(order).alias("lead"))
     members = cut(members.withColumn("leader", F.col("lead") == F.col("digest")))
     within = members.where("not leader").select(F.explode(F.array("p1", "lead")).alias("a"), F.col("digest").alias("b"))
-    group_pairs = found.where("kind = 0").select(F.col("digest").alias("ga"), F.col("g").alias("gb")).distinct()
-    links = _verified(docs, nodes, _expanded(group_pairs, members).union(within))
+    group_pairs = cut(found.where("kind = 0").select("blob").mapInArrow(_group_pairs, "ga long, gb long").distinct())
+    lead = lambda x: members.where("leader").select(F.col("g").alias(f"g{x}"), F.col("digest").alias(x))
+    between = group_pairs.join(lead("a"), "ga").join(lead("b"), "gb").select("a", "b")
+    links = _verified(docs, nodes, between.union(within))
+    release(spark)
     # what is left: pairs across components, in large lists and in groups of several sets
     comp = nodes.select("digest", "g", "n").join(components(links), nodes.digest == F.col("node"), "left")
     comp = cut(comp.select("digest", "g", "n", F.coalesce("component", "digest").alias("c")))
-    of_group = comp.groupBy("g").agg(F.min("c").alias("c"), (F.min("c") != F.max("c")).alias("mixed"), F.count("*").alias("m"), F.max("n").alias("n"))
-    in_lists = found.where("kind = 2").select(F.col("digest").alias("t"), "g")
-    in_groups = of_group.where("mixed").select(F.col("g").alias("t"), "g")
-    lists = in_lists.union(in_groups).join(of_group, "g")
-    rest = _crossing(lists, comp)
+    of_group = comp.groupBy("g").agg(F.min("c").alias("c"), (F.min("c") != F.max("c")).alias("mixed"), F.count("*").alias("m"), F.max("n").cast("long").alias("n"))
+    in_lists = found.where("kind = 2").select("digest", "blob").mapInArrow(_listed, "t long, g long, n long, q long")
+    in_groups = of_group.where("mixed").select(F.col("g").alias("t"), "g", "n", F.lit(0).cast("long").alias("q"))
+    lists = in_lists.union(in_groups).join(of_group.select("g", "c", "mixed"), "g")
+    rest = _crossing(lists)
     # group pairs of which only leaders were expanded
     big = of_group.where("m > 1").select("g")
     some = group_pairs.join(big.withColumnRenamed("g", "ga"), "ga", "left_semi").union(group_pairs.join(big.withColumnRenamed("g", "gb"), "gb", "left_semi"))
     side = lambda x: of_group.select(F.col("g").alias(f"g{x}"), F.col("c").alias(f"c{x}"), F.col("mixed").alias(f"m{x}"))
     some = some.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb or ma or mb").select("ga", "gb")
     rest = cut(_members_across(rest.union(some).distinct(), comp))
+    del lists, some, in_lists, in_groups
+    release(spark)
     if rest.isEmpty():
         return classes, links
     return classes, links.union(_verified(docs, nodes, rest))
 
 
-def _crossing(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """Group pairs (ga, gb) of lists (t, g, c, mixed, n) that aren't both in one component.
+def _crossing(lists: DataFrame) -> DataFrame:
+    """Group pairs (ga, gb) of lists (t, g, n, q, c, mixed) that may link and aren't both in one component.
 
     Either has a member outside the list's largest component, so only those few meet all others.
     """
     per = lists.groupBy("t", "c", "mixed").agg(F.count("*").alias("k"))
-    most = per.groupBy("t").agg(F.max_by("c", F.struct(~F.col("mixed"), "k", "c")).alias("main"), F.max(F.struct(F.lit(1), F.col("mixed"))).alias("x"), F.count("*").alias("kinds"))
-    most = most.where(F.expr("kinds > 1 or x.mixed")).select("t", "main")
-    lists = lists.join(most, "t")
-    out = lists.where("c <> main or mixed").select("t", F.col("g").alias("ga"), F.col("c").alias("ca"), F.col("mixed").alias("ma"), F.col("n").alias("na"))
-    all_ = lists.select("t", F.col("g").alias("gb"), F.col("c").alias("cb"), F.col("mixed").alias("mb"), F.col("n").alias("nb"))
-    met = out.join(all_, "t").where("(ca <> cb or ma or mb) and 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    most = per.groupBy("t").agg(F.max_by("c", F.struct(~F.col("mixed"), "k", "c")).alias("main"), F.max("mixed").alias("any"), F.count("*").alias("kinds"))
+    lists = lists.join(most.where("kinds > 1 or any").select("t", "main"), "t")
+    side = lambda x: ["t", *(F.col(k).alias(f"{k}{x}") for k in ("g", "c", "mixed", "n", "q"))]
+    left = lambda x: f"n{x} - (q{x} * n{x} div {PLACES})"
+    fits = f"5 * least(na, nb) >= 4 * greatest(na, nb) and 9 * least({left('a')}, {left('b')}) >= 4 * (na + nb)"
+    met = lists.where("c <> main or mixed").select(side("a")).join(lists.select(side("b")), "t").where(f"(ca <> cb or mixeda or mixedb) and {fits}")
     return met.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
 
 
