@@ -123,9 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Atten
     known = [(texts[i], q) for i, q in picked if i in texts]
     if not known:
         return None
-    raw = [t.encode() for t, _ in known]
-    x, first = passages(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    return Attention().fit(x, first, np.array([q for _, q in known], float))
+    parts, sizes = [], []
+    for s in range(0, len(known), 100):  # a few texts at once: their features are small, working them out is not
+        raw = [t.encode() for t, _ in known[s : s + 100]]
+        x, first = passages(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        parts.append(x)
+        sizes.append(np.diff(first))
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return Attention().fit(np.concatenate(parts), first, np.array([q for _, q in known], float))
 
 
 def scored(docs: DataFrame, model: Attention | None) -> DataFrame:
