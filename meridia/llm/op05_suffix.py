@@ -5,7 +5,8 @@ texts are sampled at content-defined places: a GRAM-byte gram whose hash is leas
 string of that length holds one, at the same place in each occurrence, so strings that occur in two documents share a
 sampled gram. Grams are sent, packed, to the partition of their hash, which tells each document its grams that other
 documents share. 3. For these, their surroundings (all strings that they can stand for) go to the gram's partition.
-Equal surroundings are taken together, with their least document. Where a gram has several, their suffix array is built
+Equal surroundings are taken together, with their least document. Where a gram has several, each is kept as far as it
+agrees with another (less than LENGTH bytes: it has no string in common), and the suffix array of what is kept is built
 by linear grouping (gsaca.py); neighbours in it that agree on LENGTH bytes are classes of equal strings, and each string
 whose class starts in a smaller document is marked. 4. Marks come back to their documents, merge, and cut the text.
 
@@ -29,8 +30,11 @@ from meridia.llm.gsaca import suffix_array
 LENGTH, GRAM = 50, 20
 #: Grams that stand in one string, and so the bytes around a gram that matter before and after its start.
 AROUND = LENGTH - GRAM + 1
-#: Bytes of surroundings that are suffix-sorted at once, unless one gram has more; gathered rows that are sent at once.
-SORT_AT_ONCE, SEND_AT_ONCE = 1 << 15, 1_500_000
+#: Bytes of surroundings that are suffix-sorted at once, unless one gram has more; gathered rows that are sent at once;
+#: surroundings that are compared at once.
+SORT_AT_ONCE, SEND_AT_ONCE, COMPARE_AT_ONCE = 1 << 15, 1_000_000, 15_000
+#: Ids of exact copies are broadcast up to so many, and joined by shuffle beyond.
+FEW = 1_000_000
 SEPARATOR = b"\xff"  # no byte of UTF-8 text
 
 
@@ -181,8 +185,8 @@ def _surround(parts: int):
     return run
 
 
-def equal_strings(texts: list[bytes], docs: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(text, place, least document) of each string of LENGTH bytes that occurs in several of the texts."""
+def equal_strings(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text, place and least document of each string of LENGTH bytes that stands in several places of the texts."""
     joined = SEPARATOR.join(texts)
     n = len(joined)
     data = np.frombuffer(joined, np.uint8)
@@ -192,93 +196,114 @@ def equal_strings(texts: list[bytes], docs: list[int]) -> Iterator[tuple[int, in
     which = np.searchsorted(starts, order, side="right") - 1
     full = order + LENGTH <= starts[which] + lengths[which]
     order, which = order[full], which[full]
-    if len(order) < 2:
-        return
-    # neighbours in suffix order agree on LENGTH bytes: eight-byte steps of the same shift
+    # neighbours in suffix order agree on LENGTH bytes: eight bytes at a time
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eights = np.lib.stride_tricks.sliding_window_view(padded, 8)[: n + 1].copy().view(np.uint64)[:, 0]
-    same = np.ones(len(order) - 1, bool)
+    same = np.ones(max(len(order) - 1, 0), bool)
     for shift in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
         e = eights[order + shift]
         same &= e[1:] == e[:-1]
-    at, end = _runs(np.concatenate([[0], np.cumsum(~same)]))
-    doc = np.array(docs, np.int64)[which]
-    least = np.minimum.reduceat(doc, at)
-    for x, y, d in zip(at[end - at > 1].tolist(), end[end - at > 1].tolist(), least[end - at > 1].tolist(), strict=True):
-        for w, o in zip(which[x:y].tolist(), order[x:y].tolist(), strict=True):
-            yield w, o - int(starts[w]), d
+    at, end = _runs(np.concatenate([[0], np.cumsum(~same)])[: len(order)])
+    several = np.repeat(end - at > 1, end - at)
+    least = np.repeat(np.minimum.reduceat(docs[which], at), end - at) if len(at) else docs[:0]
+    return which[several], (order - starts[which])[several], least[several]
+
+
+def _words(m: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as big-endian integers, the last first, for lexsort."""
+    return list(np.ascontiguousarray(m).view(">u8").astype(np.uint64).T[::-1])
+
+
+def _nearest(h: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The longest beginning that each row of m (n bytes of it) shares with another row of its h; rows are in order."""
+    same = (m[1:] == m[:-1]) & (h[1:] == h[:-1])[:, None]
+    common = np.minimum(np.where(same.all(1), m.shape[1], same.argmin(1)), np.minimum(n[1:], n[:-1]))
+    return np.maximum(np.append(common, 0), np.concatenate([[0], common]))
+
+
+def _marks_of(h: np.ndarray, doc: np.ndarray, at: np.ndarray, before: np.ndarray, length: np.ndarray, text: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(documents, starts, ends) of marked ranges among the surroundings of some grams."""
+    before, length = before.astype(np.int64), length.astype(np.int64)
+    start, after = at.astype(np.int64) - before, length - before
+    gram = np.cumsum(length) - length + before  # where each gram starts in text
+    text = np.concatenate([np.zeros(LENGTH, np.uint8), text, np.zeros(LENGTH, np.uint8)])
+    side = lambda i, n, step, width: np.where(np.arange(width) < n[:, None], text[LENGTH + gram[i][:, None] + step * np.arange(width) - (step < 0)], 0).astype(np.uint8)
+    every = np.arange(len(h))
+    right, left = side(every, after, 1, 56), side(every, before, -1, 32)
+    # equal surroundings are adjacent in this order
+    order = np.lexsort([length, before, *_words(left), *_words(right), h])
+    h, doc, start, before, length, after, gram, right, left = (x[order] for x in (h, doc, start, before, length, after, gram, right, left))
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (before[1:] != before[:-1]) | (length[1:] != length[:-1]) | (right[1:] != right[:-1]).any(1) | (left[1:] != left[:-1]).any(1)])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(h)))
+    least = np.minimum.reduceat(doc, first)
+    most = np.maximum.reduceat(doc, first)
+    gone = (doc > np.repeat(least, count)) & (length >= LENGTH)
+    out = [(doc[gone], start[gone], start[gone] + length[gone])]
+    # different surroundings of one gram: only as far as they agree with another one can their strings be equal
+    reach = _nearest(h[first], right[first], after[first])
+    back_order = np.lexsort([*_words(left[first]), h[first]])
+    back = np.zeros(len(first), np.int64)
+    back[back_order] = _nearest(h[first][back_order], left[first][back_order], before[first][back_order])
+    some = np.flatnonzero(reach + back >= LENGTH)
+    edges = np.flatnonzero(np.concatenate([[True], h[first[some[1:]]] != h[first[some[:-1]]]])) if len(some) else some
+    sizes = np.cumsum(reach[some] + back[some])
+
+    def compare(rows: np.ndarray) -> None:
+        texts = [text[LENGTH + g - x : LENGTH + g + y].tobytes() for g, x, y in zip(gram[first[rows]].tolist(), back[rows].tolist(), reach[rows].tolist(), strict=True)]
+        which, place, low = equal_strings(texts, least[rows])
+        run = rows[which]
+        useful = low < most[run]
+        run, place, low = run[useful], place[useful], low[useful]
+        n = count[run]  # every member of equal surroundings
+        member = np.repeat(first[run] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        a = start[member] + before[member] + np.repeat(place - back[run], n)
+        later = doc[member] > np.repeat(low, n)
+        out.append((doc[member][later], a[later], a[later] + LENGTH))
+
+    x = 0
+    while x < len(edges):  # whole groups, up to SORT_AT_ONCE bytes
+        y = max(x + 1, int(np.searchsorted(sizes[edges[1:] - 1], (sizes[edges[x] - 1] if edges[x] else 0) + SORT_AT_ONCE, side="right")))
+        rows = some[edges[x] : edges[y] if y < len(edges) else len(some)]
+        if len(rows) > 1:
+            compare(rows)
+        x = y
+    return out
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From all surroundings of a partition: doc_id and a blob of marked ranges (starts, ends)."""
-    hs, docs, ats, befores, texts = [], [], [], [], []
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     for b in batches:
         for blob in b.column(1).to_pylist():
             m = int(np.frombuffer(blob, np.int64, 1)[0])
-            hs.append(np.frombuffer(blob, np.uint64, m, 8))
-            docs.append(np.frombuffer(blob, np.int64, m, 8 + 8 * m))
-            ats.append(np.frombuffer(blob, np.uint32, m, 8 + 16 * m))
-            befores.append(np.frombuffer(blob, np.uint8, m, 8 + 20 * m))
-            k = np.frombuffer(blob, np.uint8, m, 8 + 21 * m).astype(np.int64)
-            ends = 8 + 22 * m + np.cumsum(k)
-            texts += [blob[e - n : e] for e, n in zip(ends.tolist(), k.tolist(), strict=True)]
-    if not hs:
+            for out, (kind, at) in zip(parts, ((np.uint64, 8), (np.int64, 8 + 8 * m), (np.uint32, 8 + 16 * m), (np.uint8, 8 + 20 * m), (np.uint8, 8 + 21 * m)), strict=False):
+                out.append(np.frombuffer(blob, kind, m, at))
+            parts[5].append(np.frombuffer(blob, np.uint8, -1, 8 + 22 * m))
+    if not parts[0]:
         return
-    h, doc, start = np.concatenate(hs), np.concatenate(docs), np.concatenate(ats).astype(np.int64) - np.concatenate(befores)
-    out_doc, out_a, out_b = [], [], []
-
-    def mark(i: int, a: int, b: int) -> None:
-        out_doc.append(int(doc[i]))
-        out_a.append(int(start[i]) + a)
-        out_b.append(int(start[i]) + b)
-
+    h, doc, at, before, length, text = (np.concatenate(x) for x in parts)
+    del parts
     order = np.argsort(h, kind="stable")
-    waiting: list[tuple[bytes, int, list[int]]] = []
-
-    def sort_waiting() -> None:
-        ranges: dict[tuple[int, int], list[int]] = {}  # (text, least document) -> places
-        for w, place, least in equal_strings([t for t, _, _ in waiting], [d for _, d, _ in waiting]):
-            ranges.setdefault((w, least), []).append(place)
-        for (w, least), places in ranges.items():
-            if least >= max(doc[i] for i in waiting[w][2]):
-                continue
-            places.sort()
-            a, last = places[0], places[0]
-            merged = []
-            for p in [*places[1:], 1 << 40]:
-                if p > last + 1:
-                    merged.append((a, last + LENGTH))
-                    a = p
-                last = p
-            for i in waiting[w][2]:
-                if doc[i] > least:
-                    for a, b in merged:
-                        mark(i, a, b)
-
-    held = 0
-    for x, y in zip(*_runs(h[order]), strict=True):
-        by: dict[bytes, list[int]] = {}
-        for i in order[x:y].tolist():
-            by.setdefault(texts[i], []).append(i)
-        for text, members in by.items():  # equal surroundings: whole, but for their least document
-            least = min(doc[i] for i in members)
-            if len(text) >= LENGTH:
-                for i in members:
-                    if doc[i] > least:
-                        mark(i, 0, len(text))
-        if len(by) > 1:
-            waiting += [(t, int(min(doc[i] for i in m)), m) for t, m in by.items()]
-            held += sum(map(len, by))
-            if held >= SORT_AT_ONCE:
-                sort_waiting()
-                waiting, held = [], 0
-    if waiting:
-        sort_waiting()
-    if not out_doc:
+    first = np.cumsum(length, dtype=np.int64) - length
+    edges = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1], [True]]))
+    out, x = [], 0
+    while x < len(edges) - 1:  # whole grams, a bounded number of surroundings at once unless one gram has more
+        y = max(x + 1, int(np.searchsorted(edges, edges[x] + COMPARE_AT_ONCE, side="right")) - 1)
+        own = order[edges[x] : edges[y]]
+        k = length[own].astype(np.int64)
+        take = np.repeat(first[own] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        out += _marks_of(h[own], doc[own], at[own], before[own], length[own], text[take])
+        x = y
+    d, a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+    if not len(d):
         return
-    d, a, b = np.array(out_doc, np.int64), np.array(out_a, np.uint32), np.array(out_b, np.uint32)
     order = np.lexsort((a, d))
     d, a, b = d[order], a[order], b[order]
+    rank = np.cumsum(np.concatenate([[0], d[1:] != d[:-1]])) << 40
+    reached = np.maximum.accumulate(b + rank)
+    at = np.flatnonzero(np.concatenate([[True], (a + rank)[1:] > reached[:-1]]))
+    d, a, b = d[at], a[at].astype(np.uint32), (reached[np.append(at[1:], len(reached)) - 1] - rank[at]).astype(np.uint32)
     x, y = _runs(d)
     for s in range(0, len(x), 10_000):
         blobs = [_pack(a[i:j], b[i:j]) for i, j in zip(x[s : s + 10_000], y[s : s + 10_000], strict=True)]
@@ -308,7 +333,8 @@ def marked(docs: DataFrame) -> DataFrame:
     digests = cut(digests.select("doc_id", F.unhex("digest").alias("digest")))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     copies = cut(digests.join(least, "digest").where("doc_id > least").select("doc_id").distinct())
-    own = docs.join(copies, "doc_id", "left_anti")
+    few = copies.count() <= FEW  # 8 bytes each; more go by shuffle
+    own = docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
     posted = own.mapInArrow(_post(parts), "bucket int, blob binary").repartition(parts, "bucket")
     shared = cut(posted.mapInArrow(_shared, "doc_id long, places binary"))
     del posted
