@@ -24,36 +24,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meridia.llm.common import chunks, ensure_checkpoints, flat, table
-from meridia.llm.pretokens import Remembered, splitter
+from meridia.llm.pretokens import EASY, GPT2, Remembered, fast_splitter
 
 #: Fixed values of the format: ids per word and bits per id, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 60])
 ESCAPE, BLOCK, END_ID = 15, 4096, 2
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of only these characters are split here; others go to the library whole.
 PLAIN = r"[\t-\r\x20-\x7e\xa0-ɏΑ-ΡΣ-ϿЀ-џ‐-‧€一-龥]*"
 
 
-def _block(ids: np.ndarray) -> np.ndarray:
-    n = len(ids)
-    bits = np.frexp(ids.astype(np.float64))[1] if n and ids.max() < 1 << 52 else np.array([int(x).bit_length() for x in ids])
+def _words_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of ids in blocks that end at `ends`, and each block's first word."""
+    n, at_of = len(ids), np.arange(len(ids))
+    bits = np.frexp(ids.astype(np.float64))[1] if n and ids.max() < 1 << 52 else np.array([int(x).bit_length() for x in ids], np.int64)
+    room = np.repeat(ends, np.diff(ends, prepend=0)) - at_of
     choice = np.full(n, 14)
     for s in range(13, -1, -1):  # the largest count that fits wins
-        wide = np.where(bits > WIDTHS[s], np.arange(n), n)
-        until = np.minimum.accumulate(wide[::-1])[::-1]
-        choice[until - np.arange(n) >= COUNTS[s]] = s
+        fits = room >= COUNTS[s]
+        if WIDTHS[s] or not bits.all():
+            until = np.minimum.accumulate(np.where(bits > WIDTHS[s], at_of, n)[::-1])[::-1]
+            choice[fits & (until - at_of >= COUNTS[s])] = s
     choice[bits > 60] = ESCAPE
     step = np.append(COUNTS, 1)[choice].tolist()
     at, i = [], 0
+    add = at.append
     while i < n:
-        at.append(i)
+        add(i)
         i += step[i]
     at = np.array(at, np.int64)
     sel = choice[at]
+    starts = np.concatenate([[0], ends[:-1]])
     if (sel == ESCAPE).any():
-        return _with_escapes(ids, at, sel)
-    return _pack(ids, at, sel)
+        parts = [_with_escapes(ids, at[x:y], sel[x:y]) for x, y in zip(np.searchsorted(at, starts), np.searchsorted(at, ends), strict=True)]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
+    return _pack(ids, at, sel), np.searchsorted(at, starts)
 
 
 def _pack(ids: np.ndarray, at: np.ndarray, sel: np.ndarray) -> np.ndarray:
@@ -80,12 +85,25 @@ def _with_escapes(ids: np.ndarray, at: np.ndarray, sel: np.ndarray) -> np.ndarra
     return np.concatenate(out)
 
 
+def encode_many(ids: np.ndarray, counts: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per run of `counts` consecutive ids, its words and each of its blocks' first word."""
+    own = [len(range(0, n, BLOCK)) for n in counts]
+    lasts = np.cumsum(counts)
+    ends = np.concatenate([np.minimum(np.arange(e - n, e, BLOCK) + BLOCK, e) for n, e in zip(counts, lasts.tolist(), strict=True)]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
+    if not len(ends):
+        return [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in counts]
+    words, first = _words_of(ids.astype(np.uint64), ends)
+    first, at, out = np.append(first, len(words)), 0, []
+    for k in own:
+        f = first[at : at + k + 1]
+        out.append((words[f[0] : f[-1]], f[:-1] - f[0]))
+        at += k
+    return out
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the ids, and each block's first word."""
-    ids = ids.astype(np.uint64)
-    blocks = [_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
-    sizes = [len(b) for b in blocks]
-    return np.concatenate(blocks) if blocks else np.zeros(0, np.uint64), np.cumsum([0, *sizes[:-1]]) if sizes else np.zeros(0, np.int64)
+    return encode_many(ids, [len(ids)])[0]
 
 
 def decode(words: np.ndarray) -> np.ndarray:
@@ -129,11 +147,11 @@ class Coder:
 
         self.library = Tokenizer.from_file(path)
         self.special = regex.compile("|".join(regex.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or r"(?!)")
-        self.plain, self.split = regex.compile(PLAIN), splitter(PATTERN)
+        self.plain, self.split = regex.compile(PLAIN), fast_splitter(GPT2)
         self.known = Remembered(lambda piece: self.library.encode(piece, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if self.plain.fullmatch(text) and not self.special.search(text):
+        if (EASY(text) or self.plain.fullmatch(text)) and not self.special.search(text):
             return b"".join(map(self.known.__getitem__, self.split(text)))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -152,8 +170,9 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = coder(vocabulary), np.array([end_id], "<u4").tobytes()
         for b in chunks(batches, "text"):
-            made = [encode(np.frombuffer(own.encode(t or "") + end, "<u4")) for t in b.column(1).to_pylist()]
-            counts = [_count(w) for w, _ in made]
+            raw = [own.encode(t or "") + end for t in b.column(1).to_pylist()]
+            counts = [len(r) // 4 for r in raw]
+            made = encode_many(np.frombuffer(b"".join(raw), "<u4"), counts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array([w.tobytes() for w, _ in made], pa.binary()), pa.array([o for _, o in made], pa.list_(pa.int32()))], ["doc_id", "n_ids", "words", "offsets"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -161,11 +180,6 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID)
     ordered.mapInArrow(run, ROW).withColumn("shard", F.spark_partition_id()).write.parquet(path)
 
 
-def _count(words: np.ndarray) -> int:
-    sel = (words >> np.uint64(60)).astype(np.int64)
-    return len(decode(words)) if (sel == ESCAPE).any() else int(COUNTS[sel].sum())
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches, "words"):
         raw, off = flat(b.column(2))

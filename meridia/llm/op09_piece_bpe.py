@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from meridia.llm.common import chunks, table
-from meridia.llm.pretokens import Remembered, splitter
+from meridia.llm.pretokens import Remembered, fast_splitter
 
 #: The character of byte b is the b-th from here; all are letters of two UTF-8 bytes.
 FIRST = 0x100
@@ -59,7 +59,7 @@ class PieceBpe:
         self.order = np.array(sorted(self.ranks.values()), np.uint32)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(self.ranks))
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.split = splitter(pattern)
+        self.split = fast_splitter(pattern)
         self.known = Remembered(self._piece)
 
     def _piece(self, piece: str) -> list[int]:

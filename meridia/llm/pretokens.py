@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +19,20 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
 
 
+#: Texts of only these characters are split by plain classes; the same result, sooner.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+EASY = re.compile(rf"[\t-\r\x20-~{LETTERS}]*").fullmatch
+#: Letters come first: no other alternative starts where they do.
+_EASY_SPLIT = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t-\r 0-9{LETTERS}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def fast_splitter(pattern: str) -> Callable[[str], list[str]]:
+    """splitter(), with a shorter way for easy texts where the pattern is the common one."""
+    full = splitter(pattern)
+    return (lambda text: _EASY_SPLIT(text) if EASY(text) else full(text)) if pattern == GPT2 else full
+
+
 class Remembered(dict):
     """pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
