@@ -340,8 +340,8 @@ def marked(docs: DataFrame) -> DataFrame:
     del posted
     release(spark)
     places = shared.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    around = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_surround(parts), "bucket int, blob binary")
-    ranges = cut(around.repartition(parts, "bucket").mapInArrow(_mark, "doc_id long, ranges binary"))
+    around = own.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_surround(3 * parts), "bucket int, blob binary")
+    ranges = cut(around.repartition(3 * parts, "bucket").mapInArrow(_mark, "doc_id long, ranges binary"))
     del around
     release(spark)
     ranges = ranges.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")).select("doc_id", F.lit(False).alias("copy"), "ranges")
