@@ -5,9 +5,15 @@ hash. Two sets that link share an element among their first n - ceil(0.8 n) + 1
 prefix and size form one group; posting lists hold groups, group pairs are filtered by size and by parity signatures
 (an exact upper bound of the overlap), and the members of surviving pairs are verified on their whole sets.
 
-Large lists and groups don't emit all their pairs. Their members are first linked along stars and a few hash orders (a
-linear number of pairs); after the components of these links are known, only pairs that cross components are left, and
-all of these are verified. So no link between components is lost, and copies are never expanded into pairs.
+Components come first, from some of the links. Large lists and groups don't emit all their pairs: their members are
+linked along stars and a few hash orders (a linear number of pairs); after the components of these links are known, only
+pairs that cross components are left, and all of these are verified. So no link between components is lost.
+
+Then all links are met inside the components, each pair of classes of equal sets once. A component's classes are dealt
+by hash to blocks, a task takes the sets of a pair of blocks, and overlaps of all its pairs come from products of 0/1
+matrices. Numbers of links leave it added up by class, so neither links nor copies are expanded into rows of pairs
+unless jaccard_links() is asked for them. The work inside a component grows with the square of its classes, and so does
+the number of rows that tell a block to its partners, divided by the size of a block.
 
 Defined results. Null and empty texts and texts without words have empty sets, link with nothing and are their own
 component. Repeated rows of a document count once. Extra columns are ignored. Empty tables give empty results.
@@ -40,6 +46,8 @@ SMALL_LIST, ORDERS = 12, 4
 SEND_WANTED = 400_000
 #: Places of elements in their set, as fractions of its size, are told in so many steps; a prefix ends below 256.
 PLACES = 1024
+#: A component is dealt to blocks of about so many classes and elements at most; columns of one matrix product.
+BLOCK_SETS, BLOCK_ELEMENTS, COLUMNS = 512, 1 << 20, 4096
 
 
 def least_overlap(size: np.ndarray) -> np.ndarray:
@@ -281,11 +289,111 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(maybe.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ea", "eb").mapInArrow(_verify, "a long, b long"))
 
 
+def overlaps(elements: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of common elements of the sets in rows `left` (down) with those in rows `right` (across)."""
+    _, col, times = np.unique(elements, return_inverse=True, return_counts=True)
+    shared = times > 1
+    keep = shared[col]
+    row, col = row[keep], (np.cumsum(shared) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        x, y = np.searchsorted(col, [first, first + COLUMNS])
+        held = np.zeros((int(max(left.max(), right.max())) + 1, COLUMNS), np.float32)
+        held[row[x:y], col[x:y] - first] = 1
+        out += (held[left] @ held[right].T).astype(np.int64)
+    return out
+
+
+def _linked(rows: list[pa.RecordBatch], same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of two blocks (or twice of one, if they are the same), and which of their pairs link, each pair once."""
+    digests, side = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in rows]) for k in (3, 4))
+    parts = [flat(b.column(5)) for b in rows]
+    elements = np.concatenate([x for x, _ in parts]).view(np.uint64)
+    n = np.concatenate([np.diff(off) for _, off in parts]) // 8
+    once = np.zeros(len(digests), bool)
+    once[np.unique(digests, return_index=True)[1]] = True  # a document may have several rows
+    elements, digests, side, n = elements[np.repeat(once, n)], digests[once], side[once], n[once]
+    left, right = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
+    if not len(left) or not len(right):
+        return digests[left], digests[right], np.zeros((len(left), len(right)), bool)
+    both = overlaps(elements, np.repeat(np.arange(len(n)), n), left, right)
+    ok = 100 * both >= 80 * (n[left][:, None] + n[right][None] - both)
+    return digests[left], digests[right], np.triu(ok, 1) if same else ok
+
+
+def _meet(tell):
+    """tell() of the digests and links of each pair of blocks; rows (c, i, j, digest, side, elements) come in order of c, i, j."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            keys = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else []
+            for x, y in zip(at, [*at[1:], len(keys)], strict=True):
+                if held and key != tuple(keys[x]):
+                    yield from tell(*_linked(held, key[1] == key[2]))
+                    held = []
+                key = tuple(keys[x])
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from tell(*_linked(held, key[1] == key[2]))
+
+    return run
+
+
+def _numbers(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> Iterator[pa.RecordBatch]:
+    digests, n = np.concatenate([a, b]), np.concatenate([ok.sum(1), ok.sum(0)])
+    yield pa.RecordBatch.from_arrays([pa.array(digests[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["digest", "n_links"])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> Iterator[pa.RecordBatch]:
+    x, y = np.nonzero(ok)
+    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], b[y])), pa.array(np.maximum(a[x], b[y]))], ["a", "b"])
+
+
+def _block_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches, "text"):
+        h, off = shingle_sets(*flat(b.column(0)))
+        sets = pa.array([h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], sets], ["digest", "c", "block", "blocks", "elements"])
+
+
+def _block_pairs(docs: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(c, i, j, digest, side, elements): the sets of blocks i and j of component c, for every i <= j, in order.
+
+    Every link is between two classes of one component, so it is met in just one pair of blocks.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    inside = nodes.join(comp, "digest").select("digest", F.col("component").alias("c"), "n", F.col("rep").alias("doc_id"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks")
+    large = inside.groupBy("c").agg(blocks).where("blocks > 1")
+    dealt = inside.join(F.broadcast(large), "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = cut(dealt.select("doc_id", "digest", "c", F.expr("pmod(xxhash64(digest), blocks)").cast("int").alias("block"), "blocks"))
+    if dealt.count() <= SEND_WANTED:
+        dealt = F.broadcast(dealt)
+    sets = docs.join(dealt, "doc_id").select("text", "digest", "c", "block", "blocks").mapInArrow(_block_sets, "digest long, c long, block int, blocks int, elements binary")
+    # block and partner; the side is told by which of the two the set is in
+    rows = sets.select("digest", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "elements")
+    rows = rows.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", (F.col("block") > F.col("other")).alias("side"), "elements")
+    return rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c", "i", "j").sortWithinPartitions("c", "i", "j")
+
+
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of docs (doc_id long, text string).
 
-    classes: doc_id, digest (the class of equal sets; null for an empty set), n_shingles; links: a, b, digests of
-    classes of different sets that link. All links between components found so far are verified, copies once.
+    classes: doc_id, digest (the class of equal sets; null for an empty set), n_shingles; links: a < b, digests of all
+    pairs of classes of different sets that link, each once. Their number grows with the square of a group of near copies.
+    """
+    classes, nodes, links = _spanning(docs)
+    return classes, _block_pairs(docs, nodes, components(links).withColumnRenamed("node", "digest")).mapInArrow(_meet(_pairs), "a long, b long")
+
+
+def _spanning(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, nodes, links): classes as jaccard_links() has them; nodes: digest, g, n, sig, rep (a document) of each.
+
+    links: a, b, digests that link, not all of them, but enough for the components.
     """
     spark = docs.sparkSession
     # distinct by doc_id costs a shuffle of texts; equal rows have equal sets, so only the small rows are made distinct
@@ -327,8 +435,8 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     del lists, some, in_lists, in_groups
     release(spark)
     if rest.isEmpty():
-        return classes, links
-    return classes, links.union(_verified(docs, nodes, rest))
+        return classes, nodes, links
+    return classes, nodes, links.union(_verified(docs, nodes, rest))
 
 
 def _crossing(lists: DataFrame) -> DataFrame:
@@ -352,11 +460,14 @@ def _members_across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach), n_links (of the document's class)."""
-    classes, links = jaccard_links(docs)
-    both = links.union(links.select("b", "a")).distinct()
-    degree = both.groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "digest")
+    """doc_id, n_shingles, component_id (the least doc_id that links reach), n_links.
+
+    n_links: of the document's class, with how many classes of other sets it links; copies count once.
+    """
+    classes, nodes, links = _spanning(docs)
     comp = components(links).withColumnRenamed("node", "digest")
+    met = _block_pairs(docs, nodes, comp).mapInArrow(_meet(_numbers), "digest long, n_links long")
+    degree = met.groupBy("digest").agg(F.sum("n_links").alias("n_links"))
     classes = classes.join(comp, "digest", "left").join(degree, "digest", "left")
     key = F.coalesce("component", "digest")
     classes = cut(classes.select("doc_id", "n_shingles", key.alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")))

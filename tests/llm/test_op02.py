@@ -1,7 +1,10 @@
 import random
 import re
 
-from meridia.llm.op02_jaccard import near_duplicates
+import numpy as np
+
+from meridia.llm import op02_jaccard
+from meridia.llm.op02_jaccard import jaccard_links, near_duplicates
 
 
 def brute(rows):
@@ -51,3 +54,42 @@ def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = near_duplicates(spark.createDataFrame([(3, None)], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got] == [(3, 0, 3, 0)]
+
+
+def brute_links(rows):
+    """All pairs of different sets that link, each set as its least document."""
+    sets = {}
+    for i, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(sets[i], i)
+    s = [x for x in least if x]
+    pairs = {tuple(sorted((least[x], least[y]))) for k, x in enumerate(s) for y in s[:k] if 100 * len(x & y) >= 80 * len(x | y)}
+    return pairs, {i: least[x] for i, x in sets.items()}
+
+
+def test_all_links(spark, monkeypatch):
+    rows = rows_of()
+    want, least = brute_links(rows)
+    degree = {}
+    for pair in want:
+        for x in pair:
+            degree[x] = degree.get(x, 0) + 1
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in near_duplicates(docs).collect()} == {i: degree.get(least[i], 0) for i in least}
+    monkeypatch.setattr(op02_jaccard, "BLOCK_SETS", 7)
+    classes, links = jaccard_links(docs)
+    of = {}
+    for r in classes.collect():
+        of[r.digest] = min(r.doc_id, of.get(r.digest, r.doc_id))
+    assert sorted(tuple(sorted((of[r.a], of[r.b]))) for r in links.collect()) == sorted(want)
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(op02_jaccard, "COLUMNS", 5)
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (1, 30, 40, 50, 7, 60)]
+    got = op02_jaccard.overlaps(np.concatenate(sets), np.repeat(np.arange(6), [len(s) for s in sets]), np.array([0, 2, 4]), np.array([1, 3, 5]))
+    assert got.tolist() == [[len(np.intersect1d(sets[x], sets[y])) for y in (1, 3, 5)] for x in (0, 2, 4)]
