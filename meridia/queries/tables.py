@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.functions import sets, text
-from meridia.operators import store
+from meridia.operators import ngrams, store
 from meridia.plans.search import text_similarity
 from meridia.sources import readers
 from meridia.sources.readers import table
@@ -96,6 +96,18 @@ def ngram_cosine(spark, sf_dir):
     return text_similarity(q, c, pairs).withColumn("text_similarity", F.round("text_similarity", 6))
 
 
+def ngram_counts_documents(spark, sf_dir):
+    """ngram_counts over all documents; those without a gram have 0."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
+    return ngrams.counted(d).withColumnRenamed("id", "doc_id")
+
+
+def ngram_cosine_documents(spark, sf_dir):
+    """Documents divisible by 50 against all other documents by n-gram cosine."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
+    return ngrams.compared(d.where("id % 50 = 0"), d).withColumn("text_similarity", F.round("text_similarity", 6))
+
+
 #: Words looked for in documents.
 WORDS = ["the", "License", "que", "und", "@"]
 
@@ -123,7 +135,7 @@ def top_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(w).alias("place")).where("place <= 3")
 
 
-QUERIES = {f.__name__: f for f in (upsert_latest, delete_ids, skip_existing, exists_probe, distinct_counts, append_select, null_fill, first_rows, seeded_sample, doc_compose, doc_roundtrip, ngram_counts, ngram_cosine, keyword_hits, set_jaccard, top_documents)}
+QUERIES = {f.__name__: f for f in (upsert_latest, delete_ids, skip_existing, exists_probe, distinct_counts, append_select, null_fill, first_rows, seeded_sample, doc_compose, doc_roundtrip, ngram_counts, ngram_cosine, ngram_counts_documents, ngram_cosine_documents, keyword_hits, set_jaccard, top_documents)}
 _G = "g as (select item_id, unnest(flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, greatest(length(t) - n + 2, 1)), lambda i: substr(t, i, n))))) as g from (select item_id, regexp_replace(text, '\\s+', '', 'g') as t from benchmark))"
 _V = "v as (select conv_id::varchar as record_id, turn, row_number() over (partition by conv_id order by turn) as i, count(*) over (partition by conv_id) as n, strftime(date '2024-01-01' + turn::int, '%Y-%m-%d') as day, case when role = 'user' then 'chief_complaint' else 'inspection_visit' end as k, text from conversations)"
 _J = """k as (select s_nationkey, list(distinct p_type) as kinds from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey where p_size < 5 group by 1), n as (select n_nationkey, coalesce(kinds, []) as kinds from nation left join k on n_nationkey = s_nationkey),
