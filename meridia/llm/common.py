@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,26 +20,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; only where it names none, set a local one."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, which all executors share.
+
+    Where it names none, a local session gets a folder of its own; on a cluster a local folder would not be shared.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "meridia-checkpoints"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = os.path.join(tempfile.gettempdir(), "meridia-checkpoints")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the checkpoint folder that all executors share."""
-    ensure_checkpoints(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the checkpoint folder, in whatever file system that is."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished steps whose DataFrames are no longer referenced."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which at its end gives memory that it no longer uses back to the system: Spark keeps its Python workers."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return own
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches, each with at most `limit` bytes in `column`, or one row."""
     for batch in batches:

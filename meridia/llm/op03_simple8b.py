@@ -6,11 +6,13 @@ bits, lowest first; 14 holds one id of 60 bits; 15 is an escape: its low bits co
 Every BLOCK ids start a new word, and offsets gives each block's first word, so any block decodes alone.
 
 Defined results. Null counts as the empty text, which has just the end id. Rows with equal doc_id stand in any order;
-each starts after all rows of smaller doc_id and those before it. Extra columns are ignored.
+each starts after all rows of smaller doc_id and those before it. Rows without doc_id come first. Empty tables give no
+rows. Extra columns are ignored, whatever their names. A text's ids are in memory as a whole, however long it is.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meridia.llm.common import chunks, ensure_checkpoints, flat, table
+from meridia.llm.common import checkpoint_folder, chunks, cut, flat, remove, table
+from meridia.llm.pieces import Pieces
 from meridia.llm.pretokens import EASY, GPT2, Remembered, fast_splitter
 
 #: Fixed values of the format: ids per word and bits per id, by selector.
@@ -36,16 +39,21 @@ PLAIN = r"[\t-\r\x20-\x7e\xa0-ɏΑ-ΡΣ-ϿЀ-џ‐-‧€一-龥]*"
 
 def _words_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of ids in blocks that end at `ends`, and each block's first word."""
-    n, at_of = len(ids), np.arange(len(ids))
-    bits = np.frexp(ids.astype(np.float64))[1] if n and ids.max() < 1 << 52 else np.array([int(x).bit_length() for x in ids], np.int64)
-    room = np.repeat(ends, np.diff(ends, prepend=0)) - at_of
-    choice = np.full(n, 14)
-    for s in range(13, -1, -1):  # the largest count that fits wins
-        fits = room >= COUNTS[s]
-        if WIDTHS[s] or not bits.all():
-            until = np.minimum.accumulate(np.where(bits > WIDTHS[s], at_of, n)[::-1])[::-1]
-            choice[fits & (until - at_of >= COUNTS[s])] = s
-    choice[bits > 60] = ESCAPE
+    n = len(ids)
+    starts = np.concatenate([[0], ends[:-1]])
+    begins = np.zeros(n + 1, bool)
+    begins[starts] = True
+    choice = np.full(n, 14, np.int8)
+    choice[ids >= np.uint64(1 << 60)] = ESCAPE
+    pos = np.arange(n)
+    for s in range(13, -1, -1):  # runs of ever narrower ids inside blocks: the largest count that fits wins
+        pos = pos[ids[pos] < np.uint64(1 << int(WIDTHS[s]))]
+        if len(pos) < COUNTS[s]:
+            break
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(pos) != 1) | begins[pos[1:]]]))
+        free = np.diff(np.append(new, len(pos))) - COUNTS[s] + 1  # places of the run where a word of this kind can start
+        first, free = pos[new][free > 0], free[free > 0]
+        choice[np.repeat(first - (np.cumsum(free) - free), free) + np.arange(int(free.sum()))] = s
     step = np.append(COUNTS, 1)[choice].tolist()
     at, i = [], 0
     add = at.append
@@ -53,8 +61,7 @@ def _words_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
         add(i)
         i += step[i]
     at = np.array(at, np.int64)
-    sel = choice[at]
-    starts = np.concatenate([[0], ends[:-1]])
+    sel = choice[at].astype(np.int64)
     if (sel == ESCAPE).any():
         parts = [_with_escapes(ids, at[x:y], sel[x:y]) for x, y in zip(np.searchsorted(at, starts), np.searchsorted(at, ends), strict=True)]
         return np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
@@ -62,13 +69,13 @@ def _words_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _pack(ids: np.ndarray, at: np.ndarray, sel: np.ndarray) -> np.ndarray:
-    words = sel.astype(np.uint64) << np.uint64(60)
-    for s in range(2, 15):
-        own = np.flatnonzero(sel == s)
-        if len(own):
-            k = np.arange(COUNTS[s])
-            words[own] |= np.bitwise_or.reduce(ids[at[own][:, None] + k] << (k * WIDTHS[s]).astype(np.uint64), axis=1)
-    return words
+    """Words of the ids from each place in `at`, which follow each other without gaps."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    counts = COUNTS[sel]
+    within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    shifted = ids[at[0] : at[0] + len(within)] << (within * np.repeat(WIDTHS[sel], counts)).astype(np.uint64)
+    return np.add.reduceat(shifted, np.cumsum(counts) - counts) | sel.astype(np.uint64) << np.uint64(60)
 
 
 def _with_escapes(ids: np.ndarray, at: np.ndarray, sel: np.ndarray) -> np.ndarray:
@@ -138,7 +145,11 @@ def _unpack(words: np.ndarray, sel: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """The tokenizers library, with what it makes of each pre-token remembered."""
+    """The tokenizers library, with what it makes of each pre-token remembered.
+
+    Only where the tokenizer's file says that pre-tokens are split by the common pattern, without a normalizer or a
+    prefix space, and are then encoded apart; any other file's texts go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -146,14 +157,40 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        says = json.loads(self.library.to_str())
+        before = says.get("pre_tokenizer") or {}
+        self.apart = (
+            says.get("normalizer") is None and says["model"]["type"] == "BPE" and not says["model"].get("dropout")
+            and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        )
         self.special = regex.compile("|".join(regex.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or r"(?!)")
         self.plain, self.split = regex.compile(PLAIN), fast_splitter(GPT2)
-        self.known = Remembered(lambda piece: self.library.encode(piece, add_special_tokens=False).ids)
+        sizes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            sizes[i] = len(token)  # one character stands for one byte
+        self.pieces = Pieces(self._encode, sizes)
+        self.known = Remembered(lambda piece: self._encode([piece])[0])
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
-        if (EASY(text) or self.plain.fullmatch(text)) and not self.special.search(text):
+        if self.apart and (EASY(text) or self.plain.fullmatch(text)) and not self.special.search(text):
             return b"".join(map(self.known.__getitem__, self.split(text)))
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._encode([text])[0], "<u4").tobytes()
+
+    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text (null: none), joined, and how many each has. Easy texts go together, others one by one."""
+        texts = texts.fill_null("")
+        said = texts.to_pylist()
+        easy = np.array([self.apart and bool(EASY(t)) and not self.special.search(t) for t in said], bool)
+        ids, counts = self.pieces.rows(*flat(texts.filter(pa.array(easy))))
+        if easy.all():
+            return ids, counts
+        parts, out = iter(np.split(ids, np.cumsum(counts)[:-1])) if len(counts) else iter(()), []
+        for t, e in zip(said, easy.tolist(), strict=True):
+            out.append(next(parts) if e else np.frombuffer(self.encode(t), "<u4"))
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
 @lru_cache(2)
@@ -164,20 +201,29 @@ def coder(path: str) -> Coder:
 ROW = "doc_id long, n_ids long, words binary, offsets array<int>"
 
 
-def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> None:
-    """Encode docs (doc_id, text) and write their ids below path, in ascending doc_id order over the shards."""
+def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+    """The packed ids of docs (doc_id, text), in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = coder(vocabulary), np.array([end_id], "<u4").tobytes()
+        own = coder(vocabulary)
         for b in chunks(batches, "text"):
-            raw = [own.encode(t or "") + end for t in b.column(1).to_pylist()]
-            counts = [len(r) // 4 for r in raw]
-            made = encode_many(np.frombuffer(b"".join(raw), "<u4"), counts)
+            ids, counts = own.rows(b.column(1))
+            ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
+            counts = (counts + 1).tolist()
+            made = encode_many(ids, counts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array([w.tobytes() for w, _ in made], pa.binary()), pa.array([o for _, o in made], pa.list_(pa.int32()))], ["doc_id", "n_ids", "words", "offsets"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROW)
+
+
+def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> None:
+    """Encode docs (doc_id, text) and write their ids below path, in ascending doc_id order over the shards.
+
+    Texts are dealt by ranges of doc_id (nulls first) and encoded there: packed words may be as large as the texts.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, ROW).withColumn("shard", F.spark_partition_id()).write.parquet(path)
+    encoded(ordered, vocabulary, end_id).withColumn("shard", F.spark_partition_id()).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +252,8 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ensure_checkpoints(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ids-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
-    return read_summary(spark, path)
+    summary = cut(read_summary(spark, path))
+    remove(spark, path)  # the summary is kept; the files were only for this query
+    return summary

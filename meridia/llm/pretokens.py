@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import regex
 
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Unicode White_Space as a class, as the reference libraries take \s.
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: Pre-tokens that a worker remembers; past this it forgets all and goes on.
-REMEMBERED = 400_000
+#: Pre-tokens that a worker remembers, twice: past this, those not met since the last time are forgotten. Longer ones
+#: (in characters) are never remembered, which bounds the bytes.
+REMEMBERED, LONGEST = 300_000, 48
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
@@ -37,10 +41,16 @@ class Remembered(dict):
     """pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
+        out = self.older.get(piece)
+        if out is None:
+            out = array("I", self.encode(piece)).tobytes() if LITTLE else np.array(self.encode(piece), "<u4").tobytes()
+            if len(piece) > LONGEST:
+                return out
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        out = self[piece] = np.array(self.encode(piece), "<u4").tobytes()
+        self[piece] = out
         return out
