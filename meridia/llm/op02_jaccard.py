@@ -16,7 +16,9 @@ unless jaccard_links() is asked for them. The work inside a component grows with
 the number of rows that tell a block to its partners, divided by the size of a block.
 
 Defined results. Null and empty texts and texts without words have empty sets, link with nothing and are their own
-component. Repeated rows of a document count once. Extra columns are ignored. Empty tables give empty results.
+component. Repeated rows of a document count once. Rows without doc_id can't be named in a link: each comes out with its
+own n_shingles, no component and no links. Texts are taken whole, however long. Extra columns are ignored. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from meridia.llm.common import chunks, cut, flat, mix, release, table
+from meridia.llm.common import chunks, cut, flat, lean, mix, release, table
 from meridia.llm.components import components
 from meridia.llm.shingles import shingle_sets
 
@@ -42,12 +44,16 @@ MAX_FREQUENT = 1 << 17
 COUNT_AT_ONCE, SEND_AT_ONCE = 4_000_000, 1_500_000
 #: Lists up to this size emit all their pairs; larger ones a star and this many hash orders first.
 SMALL_LIST, ORDERS = 12, 4
+#: Documents that may share a shingle whose list one task still takes whole; members of a list that one row tells.
+WHOLE_LIST, LISTED_AT_ONCE = 50_000, 20_000
 #: Ids of documents to verify (16 bytes each) are broadcast up to so many, and joined by shuffle beyond.
 SEND_WANTED = 400_000
 #: Places of elements in their set, as fractions of its size, are told in so many steps; a prefix ends below 256.
 PLACES = 1024
 #: A component is dealt to blocks of about so many classes and elements at most; columns of one matrix product.
-BLOCK_SETS, BLOCK_ELEMENTS, COLUMNS = 512, 1 << 20, 4096
+BLOCK_SETS, BLOCK_ELEMENTS, COLUMNS = 1024, 1 << 20, 4096
+#: Members of a block of a list, and pairs of them that are compared at once.
+BLOCK_LIST, STRIPE = 4096, 1 << 18
 
 
 def least_overlap(size: np.ndarray) -> np.ndarray:
@@ -65,7 +71,7 @@ def can_link(n1: np.ndarray, q1: np.ndarray, n2: np.ndarray, q2: np.ndarray) ->
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for b in chunks(batches, "text"):
-        yield (b.column(0).to_numpy(zero_copy_only=False), *shingle_sets(*flat(b.column(1))))
+        yield (b.column(0).to_numpy(), *shingle_sets(*flat(b.column(1))))
 
 
 def _count_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,17 +125,29 @@ def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _post(frequent: np.ndarray, buckets: int):
-    """Postings of prefix elements, packed by bucket, and one member row per document."""
+def _post(frequent: np.ndarray, rank: np.ndarray, count: np.ndarray, buckets: int):
+    """Postings of prefix elements, packed by bucket, and one member row per document.
+
+    frequent: sorted shingles that go to the end of the order, by their rank; the others come first, by hash. A posting
+    list that may be longer than WHOLE_LIST (by the shingle's count) is dealt to several buckets.
+    """
+    dealt = 1 + count // WHOLE_LIST
 
     def send(tokens, groups, sizes, places) -> pa.RecordBatch:
         t, g, n, q = (np.concatenate(x) for x in (tokens, groups, sizes, places))
-        b = (mix(t) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(b, kind="stable")
-        t, g, n, q, b = t[order], g[order], n[order], q[order], b[order]
+        share = np.ones(len(t), np.int64)
+        if len(frequent):
+            known = np.minimum(np.searchsorted(frequent, t), len(frequent) - 1)
+            share = np.where(frequent[known] == t, dealt[known], 1)
+        b = (mix(t + mix(g) % share.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((g, t, b))
+        t, g, n, q, b, share = t[order], g[order], n[order], q[order], b[order], share[order]
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])])  # copies of a batch post once
+        t, g, n, q, b, share = t[new], g[new], n[new], q[new], b[new], share[new]
         at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         ends = np.append(at[1:], len(b))
-        blobs = [t[x:y].tobytes() + g[x:y].tobytes() + n[x:y].tobytes() + q[x:y].tobytes() for x, y in zip(at, ends, strict=True)]
+        part = (share > 1).astype(np.uint8)
+        blobs = [b"".join(v[x:y].tobytes() for v in (t, g, n, q, part)) for x, y in zip(at, ends, strict=True)]
         return _rows(bucket=b[at], kind=np.zeros(len(at), np.int32), blob=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +156,9 @@ def _post(frequent: np.ndarray, buckets: int):
             n = np.diff(off)
             row = np.repeat(np.arange(len(ids)), n)
             if len(frequent):
-                late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
-                order = np.argsort(2 * row + late, kind="stable")  # frequent ones last, else by hash
-                ordered = h[order]
+                known = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                late = np.where(frequent[known] == h, rank[known] + 1, 0)
+                ordered = h[np.argsort(row * (len(frequent) + 1) + late, kind="stable")]
             else:
                 ordered = h
             p = np.where(n > 0, n - least_overlap(n) + 1, 0)
@@ -157,7 +175,7 @@ def _post(frequent: np.ndarray, buckets: int):
             sizes.append(np.repeat(n, p).astype(np.int32))
             places.append(np.minimum(255, (np.arange(len(prefix)) - np.repeat(p_off[:-1], p)) * PLACES // np.repeat(n, p)).astype(np.uint8))
             held += len(prefix)
-            yield _rows(bucket=(mix(digests.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), kind=np.ones(len(ids), np.int32), doc_id=ids, digest=digests, g=gs, n=n.astype(np.int32), sig=sigs)
+            yield _rows(bucket=(mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), kind=np.ones(len(ids), np.int32), doc_id=ids, digest=digests, g=gs, n=n.astype(np.int32), sig=sigs)
             if held >= SEND_AT_ONCE:
                 yield send(tokens, groups, sizes, places)
                 tokens, groups, sizes, places, held = [], [], [], [], 0
@@ -201,15 +219,18 @@ def _pairs_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield b.filter(pa.array(kind == 1))
     if not blobs:
         return
-    t, g, n, q = _unpacked(blobs, np.uint64, np.uint64, np.int32, np.uint8)
+    t, g, n, q, part = _unpacked(blobs, np.uint64, np.uint64, np.int32, np.uint8, np.uint8)
     del blobs
     order = np.lexsort((g, t))
-    t, g, n, q = t[order], g[order], n[order].astype(np.int64), q[order].astype(np.int64)
+    t, g, n, q, part = t[order], g[order], n[order].astype(np.int64), q[order].astype(np.int64), part[order]
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-    t, g, n, q = t[new], g[new], n[new], q[new]
+    t, g, n, q, part = t[new], g[new], n[new], q[new], part[new]
     at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     d = np.diff(np.append(at, len(t)))
+    large = (d > SMALL_LIST) | (part[at] > 0)
+    d = np.where(large, np.maximum(d, SMALL_LIST + 1), d)  # lists that are dealt to several buckets count as large
+    ends = np.append(at[1:], len(t))
     left, right = [], []
 
     def meet(i: np.ndarray, j: np.ndarray) -> None:
@@ -223,10 +244,12 @@ def _pairs_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for x in range(size) if len(first) else ():
             for y in range(x + 1, size):
                 meet(first + x, first + y)
-    for x, y in zip(at[d > SMALL_LIST].tolist(), (at + d)[d > SMALL_LIST].tolist(), strict=True):
+    for x, y in zip(at[large].tolist(), ends[large].tolist(), strict=True):
         i, j = list_pairs(g[x:y], n[x:y])
         meet(x + i, x + j)
-        yield _rows(kind=[2], digest=t[x : x + 1].view(np.int64), blob=[g[x:y].tobytes() + n[x:y].astype(np.int32).tobytes() + q[x:y].astype(np.uint8).tobytes()])
+        for s in range(x, y, LISTED_AT_ONCE):
+            e = min(y, s + LISTED_AT_ONCE)
+            yield _rows(kind=[2], digest=t[s : s + 1].view(np.int64), blob=[g[s:e].tobytes() + n[s:e].astype(np.int32).tobytes() + q[s:e].astype(np.uint8).tobytes()])
     if left:
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
         for s in range(0, len(pairs), 100_000):
@@ -276,17 +299,17 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     sized = lambda x: nodes.select(F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     maybe = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     maybe = maybe.join(sized("a"), "a").join(sized("b"), "b").select("a", "na", "sa", "b", "nb", "sb")
-    maybe = cut(maybe.mapInArrow(_may_link, "a long, b long"))
+    maybe = cut(maybe.mapInArrow(lean(_may_link), "a long, b long"))
     wanted = maybe.select(F.col("a").alias("digest")).union(maybe.select("b")).distinct().join(nodes, "digest").select(F.col("rep").alias("doc_id"), "digest")
     wanted = cut(wanted)
     if wanted.count() <= SEND_WANTED:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, "doc_id").select("digest", "text")
-    sets = cut(texts.mapInArrow(_set_rows, "digest long, elements binary").dropDuplicates(["digest"]))
+    sets = cut(texts.mapInArrow(lean(_set_rows), "digest long, elements binary").dropDuplicates(["digest"]))
     del texts, wanted
     release(docs.sparkSession)
     full = lambda x: sets.select(F.col("digest").alias(x), F.col("elements").alias(f"e{x}"))
-    return cut(maybe.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ea", "eb").mapInArrow(_verify, "a long, b long"))
+    return cut(maybe.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ea", "eb").mapInArrow(lean(_verify), "a long, b long"))
 
 
 def overlaps(elements: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -323,24 +346,25 @@ def _linked(rows: list[pa.RecordBatch], same: bool) -> tuple[np.ndarray, np.ndar
     return digests[left], digests[right], np.triu(ok, 1) if same else ok
 
 
-def _meet(tell):
-    """tell() of the digests and links of each pair of blocks; rows (c, i, j, digest, side, elements) come in order of c, i, j."""
+def _by_key(batches: Iterator[pa.RecordBatch], tell) -> Iterator[pa.RecordBatch]:
+    """tell(rows, key) of the rows of each key: the first three columns, by which the rows come in order."""
+    key, held = None, []
+    for b in batches:
+        keys = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+        at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else []
+        for x, y in zip(at, [*at[1:], len(keys)], strict=True):
+            if held and key != tuple(keys[x]):
+                yield from tell(held, key)
+                held = []
+            key = tuple(keys[x])
+            held.append(b.slice(x, y - x))
+    if held:
+        yield from tell(held, key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for b in batches:
-            keys = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
-            at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else []
-            for x, y in zip(at, [*at[1:], len(keys)], strict=True):
-                if held and key != tuple(keys[x]):
-                    yield from tell(*_linked(held, key[1] == key[2]))
-                    held = []
-                key = tuple(keys[x])
-                held.append(b.slice(x, y - x))
-        if held:
-            yield from tell(*_linked(held, key[1] == key[2]))
 
-    return run
+def _meet(tell):
+    """tell() of the digests and links of each pair of blocks; rows (c, i, j, digest, side, elements) come in order of c, i, j."""
+    return lean(lambda batches: _by_key(batches, lambda rows, key: tell(*_linked(rows, key[1] == key[2]))))
 
 
 def _numbers(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -365,7 +389,7 @@ def _block_pairs(docs: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFram
 
     Every link is between two classes of one component, so it is met in just one pair of blocks.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _named(docs)
     inside = nodes.join(comp, "digest").select("digest", F.col("component").alias("c"), "n", F.col("rep").alias("doc_id"))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks")
     large = inside.groupBy("c").agg(blocks).where("blocks > 1")
@@ -373,7 +397,7 @@ def _block_pairs(docs: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFram
     dealt = cut(dealt.select("doc_id", "digest", "c", F.expr("pmod(xxhash64(digest), blocks)").cast("int").alias("block"), "blocks"))
     if dealt.count() <= SEND_WANTED:
         dealt = F.broadcast(dealt)
-    sets = docs.join(dealt, "doc_id").select("text", "digest", "c", "block", "blocks").mapInArrow(_block_sets, "digest long, c long, block int, blocks int, elements binary")
+    sets = docs.join(dealt, "doc_id").select("text", "digest", "c", "block", "blocks").mapInArrow(lean(_block_sets), "digest long, c long, block int, blocks int, elements binary")
     # block and partner; the side is told by which of the two the set is in
     rows = sets.select("digest", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "elements")
     rows = rows.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", (F.col("block") > F.col("other")).alias("side"), "elements")
@@ -390,6 +414,17 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, _block_pairs(docs, nodes, components(links).withColumnRenamed("node", "digest")).mapInArrow(_meet(_pairs), "a long, b long")
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text of the rows that have a doc_id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+
+def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches, "text"):
+        n = np.diff(shingle_sets(*flat(b.column(1)))[1])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), b.column(0), pa.array(np.zeros(len(n), np.int64))], ["doc_id", "n_shingles", "component_id", "n_links"])
+
+
 def _spanning(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, nodes, links): classes as jaccard_links() has them; nodes: digest, g, n, sig, rep (a document) of each.
 
@@ -397,13 +432,15 @@ def _spanning(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     # distinct by doc_id costs a shuffle of texts; equal rows have equal sets, so only the small rows are made distinct
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = docs.mapInArrow(_count_repeats, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
-    top = counts.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toPandas()["h"].to_numpy(np.int64)
-    frequent = np.sort(top.view(np.uint64))
+    docs = _named(docs)
+    counts = docs.mapInArrow(lean(_count_repeats), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
+    told = counts.orderBy(F.desc("c"), "h").limit(MAX_FREQUENT).toArrow()
+    top, often = told.column("h").to_numpy().view(np.uint64), told.column("c").to_numpy()
+    by_hash = np.argsort(top)
+    frequent, rank, seen = top[by_hash], len(top) - 1 - by_hash, often[by_hash]  # the rarest comes first
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = docs.mapInArrow(_post(frequent, 4 * parts), POSTED).repartition(parts, "bucket")
-    found = cut(posted.mapInArrow(_pairs_of_lists, POSTED))
+    posted = docs.mapInArrow(lean(_post(frequent, rank, seen, 4 * parts)), POSTED).repartition(parts, "bucket")
+    found = cut(posted.mapInArrow(lean(_pairs_of_lists), POSTED))
     del posted, counts
     release(spark)
     rows = found.where("kind = 1").select("doc_id", "digest", "g", "n", "sig")
@@ -413,25 +450,28 @@ def _spanning(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     members = nodes.select("g", "digest", F.lag("digest").over(order).alias("p1"), F.first("digest").over(order).alias("lead"))
     members = cut(members.withColumn("leader", F.col("lead") == F.col("digest")))
     within = members.where("not leader").select(F.explode(F.array("p1", "lead")).alias("a"), F.col("digest").alias("b"))
-    group_pairs = cut(found.where("kind = 0").select("blob").mapInArrow(_group_pairs, "ga long, gb long").distinct())
+    group_pairs = cut(found.where("kind = 0").select("blob").mapInArrow(lean(_group_pairs), "ga long, gb long").distinct())
     lead = lambda x: members.where("leader").select(F.col("g").alias(f"g{x}"), F.col("digest").alias(x))
     between = group_pairs.join(lead("a"), "ga").join(lead("b"), "gb").select("a", "b")
     links = _verified(docs, nodes, between.union(within))
     release(spark)
-    # what is left: pairs across components, in large lists and in groups of several sets
-    comp = nodes.select("digest", "g", "n").join(components(links), nodes.digest == F.col("node"), "left")
-    comp = cut(comp.select("digest", "g", "n", F.coalesce("component", "digest").alias("c")))
-    of_group = comp.groupBy("g").agg(F.min("c").alias("c"), (F.min("c") != F.max("c")).alias("mixed"), F.count("*").alias("m"), F.max("n").cast("long").alias("n"))
-    in_lists = found.where("kind = 2").select("digest", "blob").mapInArrow(_listed, "t long, g long, n long, q long")
-    in_groups = of_group.where("mixed").select(F.col("g").alias("t"), "g", "n", F.lit(0).cast("long").alias("q"))
+    # what is left: pairs across components, in large lists, in groups of several sets, and between groups of which only
+    # leaders were expanded
+    comp = nodes.select("digest", "g", "n", "sig").join(components(links), nodes.digest == F.col("node"), "left")
+    comp = cut(comp.select("digest", "g", F.col("n").cast("long").alias("n"), "sig", F.coalesce("component", "digest").alias("c")))
+    of_group = comp.groupBy("g").agg(F.min("c").alias("c"), (F.min("c") != F.max("c")).alias("mixed"), F.count("*").alias("m"))
+    in_lists = found.where("kind = 2").select("digest", "blob").mapInArrow(_listed, "t long, g long, n long, q long").select("t", "g", "q")
+    in_groups = of_group.where("mixed").select(F.col("g").alias("t"), "g", F.lit(0).cast("long").alias("q"))
     lists = in_lists.union(in_groups).join(of_group.select("g", "c", "mixed"), "g")
-    rest = _crossing(lists)
-    # group pairs of which only leaders were expanded
+    per = lists.groupBy("t", "c").agg(F.count("*").alias("k"), F.max("mixed").alias("mixed"))
+    most = per.groupBy("t").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("mixed").alias("any"), F.count("*").alias("kinds"))
+    lists = lists.join(most.where("kinds > 1 or any").select("t", "main"), "t").select("t", "g", "q", "main")
     big = of_group.where("m > 1").select("g")
     some = group_pairs.join(big.withColumnRenamed("g", "ga"), "ga", "left_semi").union(group_pairs.join(big.withColumnRenamed("g", "gb"), "gb", "left_semi"))
     side = lambda x: of_group.select(F.col("g").alias(f"g{x}"), F.col("c").alias(f"c{x}"), F.col("mixed").alias(f"m{x}"))
-    some = some.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb or ma or mb").select("ga", "gb")
-    rest = cut(_members_across(rest.union(some).distinct(), comp))
+    some = some.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb or ma or mb").select(F.xxhash64("ga", "gb").alias("t"), F.explode(F.array("ga", "gb")).alias("g"), F.col("ca").alias("main"))
+    lists = lists.unionByName(some.distinct().withColumn("q", F.lit(0).cast("long")))
+    rest = cut(_crossing(lists.join(comp, "g").select("t", "digest", "n", "q", "c", "sig", "main")))
     del lists, some, in_lists, in_groups
     release(spark)
     if rest.isEmpty():
@@ -439,24 +479,65 @@ def _spanning(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return classes, nodes, links.union(_verified(docs, nodes, rest))
 
 
-def _crossing(lists: DataFrame) -> DataFrame:
-    """Group pairs (ga, gb) of lists (t, g, n, q, c, mixed) that may link and aren't both in one component.
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), axis=1)
+
+
+def crossing_pairs(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], sigs: tuple[list[bytes], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two sides (n, q, c) of a list that may link and aren't of one component."""
+    by_width = [{w: np.array([k for k, s in enumerate(own) if len(s) == w]) for w in {len(s) for s in own}} for own in sigs]
+    out = [(np.zeros(0, np.int64),) * 2]
+    for w, i in by_width[0].items():
+        for v, j in by_width[1].items():
+            if max(w, v) > 2 * min(w, v):
+                continue  # sizes differ too much
+            least = min(w, v)
+            a = _folded(np.frombuffer(b"".join(sigs[0][k] for k in i.tolist()), np.uint8).reshape(len(i), w), least).view(np.uint64)
+            b = _folded(np.frombuffer(b"".join(sigs[1][k] for k in j.tolist()), np.uint8).reshape(len(j), v), least).view(np.uint64)
+            n, q, c = (x[j] for x in right)
+            stripe = max(1, STRIPE // len(j))
+            for s in range(0, len(i), stripe):
+                own = i[s : s + stripe]
+                ok = can_link(left[0][own][:, None], left[1][own][:, None], n[None], q[None]) & (left[2][own][:, None] != c[None])
+                x, y = np.nonzero(ok)
+                for z in range(0, len(x), STRIPE):
+                    k, m = x[z : z + STRIPE], y[z : z + STRIPE]
+                    both = (left[0][own[k]] + n[m] - np.bitwise_count(a[s + k] ^ b[m]).sum(1, dtype=np.int64)) // 2
+                    good = 9 * both >= 4 * (left[0][own[k]] + n[m])
+                    out.append((own[k[good]], j[m[good]]))
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each (t, i, j): block i of the members outside the main component with block j of all members."""
+
+    def tell(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        digest, n, q, c = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in (4, 5, 6, 7))
+        side = np.concatenate([r.column(3).to_numpy(zero_copy_only=False) for r in rows])
+        sig = [x for r in rows for x in r.column(8).to_pylist()]
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        x, y = crossing_pairs((n[left], q[left], c[left]), (n[right], q[right], c[right]), ([sig[k] for k in left.tolist()], [sig[k] for k in right.tolist()])) if len(left) and len(right) else (left[:0], right[:0])
+        a, b = digest[left[x]], digest[right[y]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    yield from _by_key(batches, lambda rows, _: iter([tell(rows)]))
 
-    Either has a member outside the list's largest component, so only those few meet all others.
-    """
-    per = lists.groupBy("t", "c", "mixed").agg(F.count("*").alias("k"))
-    most = per.groupBy("t").agg(F.max_by("c", F.struct(~F.col("mixed"), "k", "c")).alias("main"), F.max("mixed").alias("any"), F.count("*").alias("kinds"))
-    lists = lists.join(most.where("kinds > 1 or any").select("t", "main"), "t")
-    side = lambda x: ["t", *(F.col(k).alias(f"{k}{x}") for k in ("g", "c", "mixed", "n", "q"))]
-    left = lambda x: f"n{x} - (q{x} * n{x} div {PLACES})"
-    fits = f"5 * least(na, nb) >= 4 * greatest(na, nb) and 9 * least({left('a')}, {left('b')}) >= 4 * (na + nb)"
-    met = lists.where("c <> main or mixed").select(side("a")).join(lists.select(side("b")), "t").where(f"(ca <> cb or mixeda or mixedb) and {fits}")
-    return met.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
 
+def _crossing(lists: DataFrame) -> DataFrame:
+    """Digest pairs (a, b) of list members (t, digest, n, q, c, sig, main) that may link and aren't of one component.
 
-def _members_across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    side = lambda x: comp.select(F.col("g").alias(f"g{x}"), F.col("digest").alias(x), F.col("c").alias(f"c{x}"))
-    return pairs.join(side("a"), "ga").join(side("b"), "gb").where("ca <> cb").select("a", "b").distinct()
+    Only members outside a list's largest component meet all others. Both sides go in blocks, and of their pairs only
+    those leave a task that sizes, places and signatures allow.
+    """
+    spark = lists.sparkSession
+    per = lists.groupBy("t").agg(F.count("*").alias("k"), F.sum((F.col("c") != F.col("main")).cast("long")).alias("o"))
+    per = per.select("t", F.ceil(F.col("o") / BLOCK_LIST).cast("int").alias("io"), F.ceil(F.col("k") / BLOCK_LIST).cast("int").alias("jo")).where("io > 0")
+    lists = lists.join(per, "t").withColumn("own", F.pmod(F.xxhash64("digest"), F.when(F.col("c") != F.col("main"), F.col("io")).otherwise(1)).cast("int")).withColumn("at", F.expr("pmod(xxhash64(digest), jo)").cast("int"))
+    sets = [F.col(k) for k in ("digest", "n", "q", "c", "sig")]
+    left = lists.where("c <> main").select("t", F.col("own").alias("i"), F.explode(F.expr("sequence(0, jo - 1)")).alias("j"), F.lit(True).alias("side"), *sets)
+    right = lists.select("t", F.explode(F.expr("sequence(0, io - 1)")).alias("i"), F.col("at").alias("j"), F.lit(False).alias("side"), *sets)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return left.union(right).repartition(parts, "t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(lean(_across), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -473,7 +554,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(classes.select("doc_id", "n_shingles", key.alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     least = classes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     out = classes.join(least, "c", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.col("n_links").cast("long").alias("n_links"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.col("n_links").cast("long").alias("n_links"))
+    lost = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is null")
+    return out.unionByName(lost.mapInArrow(_set_sizes, "doc_id long, n_shingles long, component_id long, n_links long"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

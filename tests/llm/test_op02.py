@@ -44,7 +44,7 @@ def rows_of(seed=1, copies=60):
 
 def test_against_brute_force(spark):
     rows = rows_of()
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows] * 2, "doc_id long, text string, n long" if False else "doc_id long, text string, g string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows] * 2, "doc_id long, text string, g string")
     got = near_duplicates(docs).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
     assert len(got) == len(rows)
