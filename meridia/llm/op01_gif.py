@@ -184,13 +184,20 @@ def _colours(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
 
 
 def gif_decode(data: bytes) -> list[Frame]:
-    """The frames of a GIF with their canvases. ValueError where it isn't one."""
+    """The frames of a GIF with their canvases. ValueError where it isn't one, is cut off or asks for too much."""
+    return list(gif_stream(data))
+
+
+def gif_stream(data: bytes) -> Iterator[Frame]:
+    """gif_decode() frame by frame: what comes before a fault is read."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a screen of {width} x {height} is larger than {MOST_PIXELS} pixels")
     common, at = _colours(data, 13, flags)
     canvas = np.zeros((height, width), np.uint32)
-    frames, delay, disposal, clear_index = [], 0, 0, -1
+    delay, disposal, clear_index = 0, 0, -1
     try:
         while at < len(data) and data[at] != 0x3B:
             if data[at] == 0x21:
@@ -203,6 +210,10 @@ def gif_decode(data: bytes) -> list[Frame]:
                 x, y, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
                 own, at = _colours(data, at + 10, flags)
                 bits = data[at]
+                if not 2 <= bits <= 8:
+                    raise ValueError(f"a code size of {bits}")
+                if w * h > MOST_PIXELS:
+                    raise ValueError(f"a frame of {w} x {h} is larger than {MOST_PIXELS} pixels")
                 stream, at = _joined(data, at + 1)
                 flat = np.frombuffer(lzw_decode(stream, bits)[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
                 if flags & 0x40:  # interlaced: rows came in four passes
@@ -213,13 +224,12 @@ def gif_decode(data: bytes) -> list[Frame]:
                     samples = flat
                 frame = Frame(samples, x, y, delay, disposal, clear_index, own)
                 canvas = _draw(canvas, frame, own if own is not None else common if common is not None else GREY)
-                frames.append(frame)
+                yield frame
                 delay, disposal, clear_index = 0, 0, -1
             else:
                 raise ValueError(f"unknown block {data[at]}")
     except (IndexError, struct.error) as e:
         raise ValueError("a cut-off GIF") from e
-    return frames
 
 
 def _draw(canvas: np.ndarray, frame: Frame, palette: np.ndarray) -> np.ndarray:
@@ -247,11 +257,13 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.bincount(np.where(a > 0, code, np.uint8(64)), minlength=65)[:64]
 
 
+#: Pixels of a screen or a frame; files that ask for more are refused, whatever their size.
+MOST_PIXELS = 1 << 26
 FRAMES = "media_id long, frame int, at_ms long, delay_ms long, x int, y int, width int, height int, disposal int, samples binary, canvas binary, histogram array<long>, error string"
 
 
 def gif_frames(media: DataFrame) -> DataFrame:
-    """The timed frames of media (media_id long, media binary), one row each; one row with `error` where none decode."""
+    """The timed frames of media (media_id long, media binary), one row each; then a row with `error` where a fault ends them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in FRAMES.split(", ")]
@@ -261,7 +273,7 @@ def gif_frames(media: DataFrame) -> DataFrame:
             for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     at = 0
-                    for k, f in enumerate(gif_decode(data or b"")):
+                    for k, f in enumerate(gif_stream(data or b"")):
                         h, w = f.samples.shape
                         rows.append((key, k, at, f.delay_cs * 10, f.x, f.y, w, h, f.disposal, f.samples.tobytes(), f.canvas.tobytes(), histogram(f.canvas).tolist(), None))
                         at += f.delay_cs * 10

@@ -89,8 +89,8 @@ class Model:
                 for s, c in Counter(SCRIPT_BIT[raw].tolist()).items():
                     if s:
                         scripts[int(s).bit_length() - 1, k] += c
-        logs = np.log(counts / counts.sum(0))
-        self.logs = (logs - logs.mean(1, keepdims=True)).astype(np.float32)
+        logs = np.log(counts / np.maximum(counts.sum(0), 1e-9))
+        self.logs = (logs - logs.mean(1, keepdims=True)).astype(np.float32) if self.languages else logs.astype(np.float32)
         self.uses = scripts >= USES * np.maximum(scripts.sum(0), 1)
 
     def scores(self, w: Words) -> np.ndarray:

@@ -66,7 +66,10 @@ class PieceBpe:
         raw = piece.encode()
         if (whole := self.ranks.get(raw)) is not None:
             return [whole]
-        return self.order[np.array(self.model.encode(raw.decode("latin-1").translate(_MAPPED)), np.int64) - 1]
+        pieces = np.array(self.model.encode(raw.decode("latin-1").translate(_MAPPED)), np.int64)
+        if not pieces.all():
+            raise ValueError(f"the vocabulary lacks a byte of {raw!r}")
+        return self.order[pieces - 1]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

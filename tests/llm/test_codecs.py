@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -35,6 +36,44 @@ def test_gif_long_and_low_bits():
         assert gif.lzw_decode(gif.lzw_encode(bytes(b & 3 for b in raw), 2), 2) == bytes(b & 3 for b in raw)
 
 
+def test_gif_cut_off():
+    whole = gif.text_to_gif(b"x" * 200_000)
+    full = gif.gif_decode(whole)
+    for n in range(14 + 768, len(whole), 997):
+        got = []
+        try:
+            for f in gif.gif_stream(whole[:n]):
+                got.append(f.samples)
+        except ValueError:
+            pass
+        assert len(got) <= len(full) and all((a == b.samples).all() for a, b in zip(got[:-1], full, strict=False))
+
+
+def test_piece_starts():
+    from meridia.llm.common import flat
+    from meridia.llm.pieces import piece_starts
+    from meridia.llm.pretokens import EASY, GPT2, splitter
+
+    r, split = random.Random(3), splitter(GPT2)
+    texts = ["".join(r.choice("ab'stdmrevl  \n\t.,7éÿ") for _ in range(r.randrange(40))) for _ in range(3000)]
+    assert all(map(EASY, texts))
+    data, off = flat(pa.array(texts))
+    at = piece_starts(data, off)
+    raw = data.tobytes()
+    for k, t in enumerate(texts):
+        own = at[(at >= off[k]) & (at < off[k + 1])].tolist()
+        assert [raw[x:y].decode() for x, y in zip(own, [*own[1:], int(off[k + 1])], strict=False)] == split(t)
+
+
+def test_piece_bpe_needs_all_bytes(tmp_path):
+    with open(tmp_path / "few", "wb") as f:
+        f.write(b"".join(base64.b64encode(bytes([c])) + b" %d\n" % k for k, c in enumerate(b"ab")))
+    few = PieceBpe(str(tmp_path / "few"), P.PATTERN)
+    assert np.frombuffer(few.encode("abba"), "<u4").tolist() == [0, 1, 1, 0]
+    with pytest.raises(ValueError):
+        few.encode("abc")
+
+
 def test_gif_disposal_and_transparency():
     colours = np.zeros((256, 3), np.uint8)
     colours[:3] = [[255, 0, 0], [0, 255, 0], [0, 0, 255]]
@@ -49,7 +88,10 @@ def test_gif_disposal_and_transparency():
     assert c[0, 0].tolist() == [0, 255, 0, 255] and c[0, 1].tolist() == [255, 0, 0, 255]  # index 2 is transparent
     assert d[0, 0].tolist() == [255, 0, 0, 255]  # disposal 3 restored it
     assert gif.histogram(c).sum() == 12 and gif.histogram(a)[0b110000] == 16
-    for bad in (b"", b"GIF89a", b"nonsense nonsense"):
+    whole = gif.gif_encode(frames, 4, 4, colours)
+    at = whole.index(b"\x2c")
+    big = whole[:6] + b"\xff\xff\xff\xff" + whole[10:]
+    for bad in (b"", b"GIF89a", b"nonsense nonsense", big, *(whole[: at + 10] + bytes([n]) + whole[at + 11 :] for n in (0, 9, 70, 200))):
         with pytest.raises(ValueError):
             gif.gif_decode(bad)
 

@@ -93,3 +93,22 @@ def test_overlaps(monkeypatch):
     sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (1, 30, 40, 50, 7, 60)]
     got = op02_jaccard.overlaps(np.concatenate(sets), np.repeat(np.arange(6), [len(s) for s in sets]), np.array([0, 2, 4]), np.array([1, 3, 5]))
     assert got.tolist() == [[len(np.intersect1d(sets[x], sets[y])) for y in (1, 3, 5)] for x in (0, 2, 4)]
+
+
+def test_null_and_large_ids(spark):
+    big = 2**60
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(None, text), (big + 1, text), (big + 3, text + " x"), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.n_links) for r in near_duplicates(docs).collect())
+    assert got == [(0, 0, None, 0), (0, 56, None, 0), (big + 1, 56, big + 1, 1), (big + 3, 57, big + 1, 1)]
+
+
+def test_lists_dealt_and_met_in_blocks(spark, monkeypatch):
+    """Long lists in several tasks, several blocks of a list, and no pairs from small lists: the same components."""
+    monkeypatch.setattr(op02_jaccard, "WHOLE_LIST", 3)
+    monkeypatch.setattr(op02_jaccard, "FREQUENT", 2)
+    monkeypatch.setattr(op02_jaccard, "SMALL_LIST", 2)
+    monkeypatch.setattr(op02_jaccard, "BLOCK_LIST", 5)
+    rows = rows_of(seed=5)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)

@@ -37,9 +37,9 @@ def test_simple8b(spark, odd_docs, empty_docs, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    op03_simple8b.write_ids(odd_docs.dropDuplicates(["doc_id"]), P.path("byte_bpe_50k.json"), str(tmp_path / "ids"))
+    op03_simple8b.write_ids(odd_docs, P.path("byte_bpe_50k.json"), str(tmp_path / "ids"))
     start = 0
-    for r, (i, t) in zip(op03_simple8b.read_summary(spark, str(tmp_path / "ids")).orderBy("doc_id").collect(), texts(ODD), strict=True):
+    for r, (i, t) in zip(op03_simple8b.read_summary(spark, str(tmp_path / "ids")).orderBy("doc_id", "start").collect(), sorted(texts([*ODD, ODD[7]])), strict=True):
         ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
@@ -84,6 +84,10 @@ def test_suffix_dedup(spark):
     out = op05_suffix.cut_texts(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", op05_suffix._digest)
     assert {x[0]: tuple(x[1:]) for x in out.collect()} == brute_dedup(rows)
     assert op05_suffix.marked(docs.limit(0)).count() == 0
+    big, text = 2**60, "shared passage " * 6
+    odd = spark.createDataFrame([(None, text), (big + 1, "a" + text), (big + 3, "b" + text), (None, text)], "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.n_removed) for x in op05_suffix.cut_texts(odd, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", op05_suffix._digest).collect())
+    assert got == [(0, 0), (0, 0), (big + 1, 0), (big + 3, 90)]
 
 
 def test_quality(spark, odd_docs, empty_docs):
