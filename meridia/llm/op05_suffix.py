@@ -70,6 +70,15 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
 
+def _squeezed(raw: bytes) -> bytes:
+    """Compressed bytes after their whole size: checkpoints are not compressed by themselves."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="lz4_raw", asbytes=True)
+
+
+def _whole(squeezed: bytes) -> bytes:
+    return pa.decompress(squeezed[8:], int.from_bytes(squeezed[:8], "little"), codec="lz4_raw", asbytes=True)
+
+
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of equal values."""
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -266,7 +275,7 @@ def _surround(parts: int):
             k = o[x:y]
             m, n = np.searchsorted(which, [x, y])
             sent = _pack(np.array([y - x], np.int64), h[k], least[x:y], most[x:y], before[k].astype(np.uint8), length[k].astype(np.uint8), _bytes_at(text, first[k], length[k]))
-            rows.append((batch, int(bucket[k[0]]), sent, _pack((which[m:n] - x).astype(np.uint32), doc[m:n], start[m:n])))
+            rows.append((batch, int(bucket[k[0]]), _squeezed(sent), _squeezed(_pack((which[m:n] - x).astype(np.uint32), doc[m:n], start[m:n]))))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], _CELL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +408,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells, sent = [], []
     for b in batches:
         cells += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-        sent += b.column(2).to_pylist()
+        sent += map(_whole, b.column(2).to_pylist())
     if not sent:
         return
     sizes = [int(np.frombuffer(x, np.int64, 1)[0]) for x in sent]
@@ -437,7 +446,7 @@ def _apply(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for members, losses in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                which, doc, start = _unpacked([members], np.uint32, np.int64, np.uint32)
+                which, doc, start = _unpacked([_whole(members)], np.uint32, np.int64, np.uint32)
                 of, a, e, low = _unpacked([losses], np.uint32, np.uint8, np.uint8, np.int64)
                 x, y = np.searchsorted(which, of), np.searchsorted(which, of, side="right")  # members come in order of which
                 n = y - x

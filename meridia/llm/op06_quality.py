@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm.common import LOWER, chunks, flat, prefix_hash, span_hash, table, word_spans
-from meridia.llm.samples import chosen, remainder, texts_of
+from meridia.llm.common import LOWER, chunks, flat, give_back, prefix_hash, span_hash, table, word_spans
+from meridia.llm.samples import chosen, remainder
 from meridia.llm.shingles import WORD
 
 #: Documents of each label that the model is fitted on; words of a passage; sizes; training.
@@ -116,21 +116,33 @@ class Attention:
         return self
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches, "text"):
+        x, first = passages(*flat(b.column(1)))
+        rows = [x[i:j].astype("<f8").tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "features"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Attention | None:
-    """A model of at most per_label documents of each quality, none of them held out; None without labels."""
-    picked = chosen(labels, "quality", per_label)
-    texts = texts_of(docs, [i for i, _ in picked])
-    known = [(texts[i], q) for i, q in picked if i in texts]
-    if not known:
+    """A model of at most per_label documents of each quality, none of them held out; None without labels.
+
+    Executors work out the passages' features; only these come to the driver, not the texts. Equal rows count once.
+    """
+    picked = dict(chosen(labels, "quality", per_label))
+    if not picked:
+        return None
+    wanted = docs.where(F.col("doc_id").isin(list(picked))).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    told = wanted.mapInArrow(_features, "doc_id long, features binary").toArrow()
+    known = dict(zip(told.column(0).to_pylist(), told.column(1).to_pylist(), strict=True))
+    ids = [i for i in picked if i in known]
+    if not ids:
         return None
-    parts, sizes = [], []
-    for s in range(0, len(known), 100):  # a few texts at once: their features are small, working them out is not
-        raw = [t.encode() for t, _ in known[s : s + 100]]
-        x, first = passages(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-        parts.append(x)
-        sizes.append(np.diff(first))
-    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    return Attention().fit(np.concatenate(parts), first, np.array([q for _, q in known], float))
+    parts = [np.frombuffer(known[i], "<f8").reshape(-1, N_FEATURES) for i in ids]
+    first = np.cumsum([0, *map(len, parts)])
+    model = Attention().fit(np.concatenate(parts), first, np.array([picked[i] for i in ids], float))
+    del told, known, parts
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Attention | None) -> DataFrame:
