@@ -9,14 +9,6 @@ from meridia import vocab
 from meridia.functions.sets import literals
 
 SPACE = r"(?U)\s+"
-#: Fixed values of the consent filter.
-CONSENT_TITLES = "知情同意书 手术知情同意 麻醉知情同意 输血知情同意 有创操作知情 高值耗材 医保药品 自付比例 患者签名 家属签名 授权委托书 医患沟通记录 风险告知书 知情同意 风险告知 授权委托".split()
-CONSENT_PLACEHOLDER = "[本节已过滤，非临床风险告知/同意内容]"
-CLINICAL_LABELS = "手术相关记录 病程记录 会诊记录 转入记录 转出记录 抢救记录 出院记录 入院记录 死亡记录 日常病程记录 首次病程记录 术后首次病程记录 疾病诊断 病情变化 治疗计划 注意事项".split()
-OTHER_LABELS = "知情同意书 高值耗材 医保药品 授权委托 根据医保协议规定 医患沟通记录".split()
-LINE_STARTS = "高值耗材 医保药品".split()
-LINE_PARTS = "患者签名: 家属签名: 患者签名日期: 家属签名日期: 受委托人/家属签名: 受委托人/家属备注: 患者联系方式: 家属联系方式: 被授权人/家属签名: 被授权人/家属备注: 双击此处选择 文本框 自付比例 医师签名： 医师签名:".split()
-CONSENT_PHRASES = "知情同意 知情权 风险告知 可能出现 可能发生 并发症或风险 潜在风险 有风险 风险包括 风险如下 可能出现以下并发症 手术风险 麻醉风险".split()
 
 
 def text_of(c) -> Column:
@@ -116,12 +108,12 @@ def _has(text: Column, words) -> Column:
 def without_consent(c) -> Column:
     """A text without consent forms: sections by title (a placeholder stays), then labelled stretches, then lines."""
     title = lambda s: F.regexp_extract(s, r"^###([^：:\n]+)", 1)
-    sections = F.transform(F.split(text_of(c), "(?=###)"), lambda s: F.when(_has(title(s), CONSENT_TITLES), F.concat(F.lit("###"), stripped(title(s)), F.lit(f"：{CONSENT_PLACEHOLDER}"))).otherwise(s))
-    labels = "|".join(CLINICAL_LABELS + OTHER_LABELS)
+    sections = F.transform(F.split(text_of(c), "(?=###)"), lambda s: F.when(_has(title(s), vocab.CONSENT_TITLES), F.concat(F.lit("###"), stripped(title(s)), F.lit(f"：{vocab.CONSENT_PLACEHOLDER}"))).otherwise(s))
+    labels = "|".join(vocab.CLINICAL_LABELS + vocab.OTHER_LABELS)
     stretches = F.split(F.array_join(sections, ""), rf"(?=\n(?:{labels}))")
-    stretches = F.filter(stretches, lambda s: ~F.rlike(s, F.lit(rf"\A[ \t\n]*(?:{'|'.join(OTHER_LABELS)})")))
+    stretches = F.filter(stretches, lambda s: ~F.rlike(s, F.lit(rf"\A[ \t\n]*(?:{'|'.join(vocab.OTHER_LABELS)})")))
     lines = F.split(F.array_join(stretches, ""), "\n", -1)
-    return F.array_join(F.filter(lines, lambda x: ~(F.exists(literals(LINE_STARTS), lambda w: F.startswith(stripped(x), w)) | _has(stripped(x), LINE_PARTS))), "\n")
+    return F.array_join(F.filter(lines, lambda x: ~(F.exists(literals(vocab.LINE_STARTS), lambda w: F.startswith(stripped(x), w)) | _has(stripped(x), vocab.LINE_PARTS))), "\n")
 
 
 def json_object(raw) -> Column:
@@ -148,4 +140,4 @@ def from_consent(evidence, text) -> Column:
     before = F.substring(t, F.lit(1), F.greatest(at - 1, F.lit(0)))
     title = F.when(F.contains(before, F.lit("###")), F.regexp_extract(F.substring_index(before, "###", -1), r"^[^：:\n]+", 0)).otherwise("")
     sentence = F.concat(F.regexp_extract(before, r"[^。；\n]*\z", 0), F.regexp_extract(F.substring(t, at, F.length(t)), r"^[^。；\n]*", 0))
-    return (F.length(e) > 0) & (at > 0) & (_has(title, CONSENT_TITLES) | _has(sentence, CONSENT_PHRASES))
+    return (F.length(e) > 0) & (at > 0) & (_has(title, vocab.CONSENT_TITLES) | _has(sentence, vocab.CONSENT_PHRASES))
