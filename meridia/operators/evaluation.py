@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridia.functions import sets
 from meridia.operators.retrieval import confidence
 
 
@@ -16,15 +17,43 @@ def score_stats(results: DataFrame, scores: list[str]) -> DataFrame:
 
 
 def score_correlations(results: DataFrame, scores: list[str]) -> DataFrame:
-    """a, b, corr of each pair of score columns; 1 on the diagonal, null where a column is constant."""
+    """a, b, corr of each pair of score columns; 1 on the diagonal, null where a column is constant. One aggregate."""
     pairs = [(a, b) for i, a in enumerate(scores) for b in scores[i:]]
-    varies = lambda c: F.coalesce(F.stddev_pop(c) > 0, F.lit(False))
-    flat = results.select([F.col(s).cast("double").alias(s) for s in scores])
-    spread = flat.agg(*[varies(s).alias(s) for s in scores]).first()
-    some = [(a, b) for a, b in pairs if a != b and spread[a] and spread[b]]
-    known = flat.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in some]).first().asDict() if some else {}
-    rows = [(a, b, 1.0 if a == b else known.get(f"{a}|{b}")) for a, b in pairs]
-    return results.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+    v = {s: F.col(s).cast("double") for s in scores}
+    varies = {s: F.coalesce(F.stddev_pop(v[s]) > 0, F.lit(False)) for s in scores}
+    # no division by a spread of 0: the sums are taken, and divided only where both columns vary
+    both = lambda a, b: F.covar_pop(v[a], v[b]) / F.when(varies[a] & varies[b], F.stddev_pop(v[a]) * F.stddev_pop(v[b]))
+    cell = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.lit(1.0) if a == b else both(a, b)).alias("corr"))
+    return results.agg(F.array(*[cell(a, b) for a, b in pairs]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def askable(queries: DataFrame) -> DataFrame:
+    """Queries with a text."""
+    return queries.where(F.length(F.coalesce("raw_text", F.lit(""))) > 0)
+
+
+def specialty_hits(results: DataFrame, ks=(1, 3, 5)) -> DataFrame:
+    """hit_rates() of queries whose specialty (query_label) is known and isn't `other`."""
+    return hit_rates(results.where("query_label <> '' and query_label <> 'other'"), ks)
+
+
+def window_stats(results: DataFrame) -> DataFrame:
+    """Mean, median, deviation, least and greatest of window and full timeline scores, and how often a window fell back.
+
+    results: window_timeline_similarity (null where none), full_timeline_similarity, timeline_window_fallback.
+    """
+    parts = []
+    for c in ("window", "full"):
+        v = F.col(f"{c}_timeline_similarity")
+        parts += [F.avg(v).alias(f"{c}_mean"), F.median(v).alias(f"{c}_median"), F.stddev_pop(v).alias(f"{c}_std"), F.min(v).alias(f"{c}_min"), F.max(v).alias(f"{c}_max")]
+    fell = F.coalesce("timeline_window_fallback", F.lit(False))
+    return results.agg(*parts, F.count_if(fell).alias("n_fallback"), F.avg(fell.cast("double")).alias("fallback_rate"))
+
+
+def tag_jaccards(pairs: DataFrame) -> DataFrame:
+    """metric, mean, median, std, min, max of tag Jaccards over pairs of tag-set structs (x, y)."""
+    kinds = ("diagnoses", "interventions", "organ_failures", "complications")
+    return score_stats(pairs.select(*[sets.jaccard(F.col("x")[k], F.col("y")[k]).alias(k) for k in kinds]), list(kinds))
 
 
 def per_query_hits(results: DataFrame, ks=(1, 3, 5)) -> DataFrame:

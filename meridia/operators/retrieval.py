@@ -33,50 +33,87 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def _best(asked: np.ndarray, units: np.ndarray, own: np.ndarray, others: np.ndarray, k: int, exclude_self: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(similarities, ids) of the best k of `own` for each query, ties by id."""
+    out = []
+    for i, s in zip(asked, units @ others.T, strict=True):
+        c = own
+        if exclude_self:
+            s, c = s[c != i], c[c != i]
+        if len(s) > k:
+            top = np.lexsort((c, -np.round(s, 6)))[:k]
+            s, c = s[top], c[top]
+        out.append((s, c))
+    return out
+
+
+def _found(asked: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    n = [len(s) for s, _ in best]
+    joined = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+    return [pa.array(np.repeat(asked, n)), pa.array(joined((c for _, c in best), np.int64)), pa.array(joined((s for s, _ in best), np.float64))]
+
+
+_FOUND = ["query_id", "candidate_id", "similarity"]
+
+
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """query_id, candidate_id, similarity, rank: each query's k most similar rows by cosine, ties by candidate_id.
 
-    queries (query_id, vector) are a stated set: they are broadcast in blocks of BLOCK_BYTES. Each task keeps the best k
-    per query, with ties of the last one, so the shuffle carries queries * tasks * k rows, whatever the corpus.
+    queries (query_id, vector) are a stated set. Up to BLOCK_BYTES of them, by their count, are broadcast; then each task
+    keeps the best k per query. More are dealt to blocks of that size that meet blocks of the corpus, and each meeting
+    keeps its best k. Either way the shuffle carries k rows per query and task, whatever the corpus. Null vectors are
+    similar to nothing (0); queries of several widths are an error, corpus rows of another width count as null.
     """
-    dim = (queries.select(F.size("vector").alias("n")).first() or [0])[0]
-    size, out = max(1, BLOCK_BYTES // (8 * max(dim, 1))), None
-    rows: list = []
-
-    def block(some: list) -> DataFrame:
-        ids = np.array([r[0] for r in some], np.int64)
-        units = _unit(np.array([r[1] for r in some], np.float64).reshape(-1, dim))
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, units))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, units = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
-            for b in batches:
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                sims = units @ _unit(_matrix(b.column(1), dim)).T
-                for q in range(len(ids)):
-                    s, c = np.concatenate([best[q][0], sims[q]]), np.concatenate([best[q][1], own])
-                    if exclude_self:
-                        s, c = s[c != ids[q]], c[c != ids[q]]
-                    if len(s) > k:
-                        top = np.lexsort((c, -np.round(s, 6)))[:k]
-                        s, c = s[top], c[top]
-                    best[q] = (s, c)
-            n = [len(s) for s, _ in best]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([c for _, c in best])), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "candidate_id", "similarity"])
-
-        return corpus.select("candidate_id", "vector").mapInArrow(run, "query_id long, candidate_id long, similarity double")
-
-    for r in queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).where(F.size("vector") == dim).toLocalIterator():
-        rows.append(r)
-        if len(rows) == size:
-            out, rows = block(rows) if out is None else out.union(block(rows)), []
-    if rows or out is None:
-        out = block(rows) if out is None else out.union(block(rows))
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    corpus = corpus.select(F.col("candidate_id").cast("long").alias("candidate_id"), F.col("vector").cast("array<double>").alias("vector"))
+    size = F.when(F.col("vector").isNotNull(), F.size("vector"))
+    n, least, most = queries.agg(F.count("*"), F.min(size), F.max(size)).first()
+    if least != most:
+        raise ValueError(f"queries have vectors of {least} to {most} numbers")
+    dim = most or 1
+    held = max(1, BLOCK_BYTES // (8 * dim))
+    out = _topk_broadcast(queries, corpus, k, exclude_self, dim) if n <= held else _topk_blocks(queries, corpus, k, exclude_self, dim, -(-n // held))
     return ranked(out.withColumn("similarity", F.round("similarity", 6)), "similarity", k)
 
 
+def _topk_broadcast(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool, dim: int) -> DataFrame:
+    asked = queries.toArrow()
+    ids = np.array(asked.column(0).to_pylist(), np.int64)
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, _unit(_matrix(asked.column(1).combine_chunks(), dim))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, units = shared.value
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        for b in batches:
+            new = _best(ids, units, b.column(0).to_numpy(zero_copy_only=False), _unit(_matrix(b.column(1), dim)), k, exclude_self)
+            for q, (s, c) in enumerate(new):
+                s, c = np.concatenate([best[q][0], s]), np.concatenate([best[q][1], c])
+                top = np.lexsort((c, -np.round(s, 6)))[:k]
+                best[q] = s[top], c[top]
+        if len(ids):
+            yield pa.RecordBatch.from_arrays(_found(ids, best), _FOUND)
+
+    return corpus.mapInArrow(run, "query_id long, candidate_id long, similarity double")
+
+
+def _topk_blocks(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool, dim: int, blocks: int) -> DataFrame:
+    there = max(1, -(-corpus.count() * 8 * dim // BLOCK_BYTES))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
+        ids, own = (np.array(t.column(0).to_pylist(), np.int64) for t in (q, c))
+        units, others = (_unit(_matrix(t.column(1).combine_chunks(), dim)) if len(t) else np.zeros((0, dim)) for t in (q, c))
+        best: list = []
+        for s in range(0, len(ids), 256):
+            best += _best(ids[s : s + 256], units[s : s + 256], own, others, k, exclude_self)
+        return pa.Table.from_arrays(_found(ids, best), _FOUND)
+
+    q = queries.select("query_id", "vector", dealt("query_id", blocks).alias("x"), each(there).alias("y"))
+    c = corpus.select("candidate_id", "vector", dealt("candidate_id", there).alias("y"), each(blocks).alias("x"))
+    return q.groupBy("x", "y").cogroup(c.groupBy("x", "y")).applyInArrow(meet, "query_id long, candidate_id long, similarity double")
+
+
 def ranked(scored: DataFrame, score: str, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "candidate_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -100,7 +137,7 @@ def excluding(candidates: DataFrame, excluded: DataFrame, column: str = "candida
 
 
 def window_blend(full: Column, window: Column, events_a: Column, events_b: Column, weight: float = 0.55) -> tuple[Column, Column]:
-    """The timeline score with a window's, and whether it fell back to the full one (under two events on a side)."""
+    """The timeline score with a window's (weighted), and whether it fell back to the full one (under two events on a side)."""
     fallback = F.coalesce(window.isNull() | (events_a < 2) | (events_b < 2), F.lit(True))
     return F.when(fallback, full).otherwise(weight * window + (1 - weight) * full), fallback
 

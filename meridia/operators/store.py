@@ -1,9 +1,12 @@
-"""Table changes without MERGE: append, upsert, delete, existence. Functions take and return DataFrames; write_swapped
-puts a new version of a table in place of the old one."""
+"""Table changes without MERGE: append, upsert, delete, existence, and stored tables that are written version by version.
+
+Functions on rows take and return DataFrames. A stored table is a folder of versions; the newest complete one counts, so a
+writer that is lost halfway leaves the last version as it was.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,12 +58,114 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
 
 
-def write_swapped(new: DataFrame, path: str) -> None:
-    """Write beside the table, then rename: readers see the old table or the new one."""
+# ---- stored tables -----------------------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """Version numbers, ascending, and whether each is complete."""
+    at, fs = _files(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()]
+    found = sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+    return [(n, fs.exists(_files(spark, f"{path}/v={n:08d}/_SUCCESS")[0])) for n in found]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version; None where none was ever written. An error if only unfinished ones are left of several."""
+    known = _versions(spark, path)
+    done = [n for n, complete in known if complete]
+    if not done:
+        if known and known[-1][0] > 1:
+            raise ValueError(f"{path} has versions, but none is complete")
+        return None
+    return spark.read.parquet(f"{path}/v={done[-1]:08d}")
+
+
+def write_table(new: DataFrame, path: str) -> int:
+    """Write rows as the next version, then drop all but it and the one before. Returns its number."""
     spark = new.sparkSession
-    new.write.mode("overwrite").parquet(f"{path}.next")
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(at, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.next"), at)
+    known = _versions(spark, path)
+    n = 1 + max([0, *(k for k, _ in known)])
+    new.write.mode("errorifexists").parquet(f"{path}/v={n:08d}")
+    before = max([0, *(k for k, complete in known if complete)])
+    for k, _ in known:
+        if k != before:
+            at, fs = _files(spark, f"{path}/v={k:08d}")
+            fs.delete(at, True)
+    return n
+
+
+def create_table(spark: SparkSession, path: str, schema: str) -> bool:
+    """An empty first version, unless the table exists. Whether it was made."""
+    if read_table(spark, path) is not None:
+        return False
+    write_table(spark.createDataFrame([], schema), path)
+    return True
+
+
+def drop_table(spark: SparkSession, path: str) -> bool:
+    at, fs = _files(spark, path)
+    return fs.delete(at, True)
+
+
+def upsert_table(new: DataFrame, path: str, key: str, order: Column | None = None) -> int:
+    """Put rows into a stored table; those of equal keys go. Doing it again with the same rows gives the same table."""
+    base = read_table(new.sparkSession, path)
+    return write_table(upsert(base if base is not None else new.limit(0), new, key, order), path)
+
+
+# ---- reading a case store: record_id, raw_text, feature_vector, timeline_features (JSON), record_order_index ----------
+
+#: Timeline features and their types, as they are stored.
+FEATURE_TYPES = "visit_count int, event_count int, total_span_days double, visit_gaps array<double>, diagnosis_keywords array<string>, event_type_sequence array<string>, surgery_type string, surgery_keywords array<string>, intervention_keywords array<string>, complication_keywords array<string>, severity_keywords array<string>"
+
+
+def features_json(c: Column) -> Column:
+    """A struct of timeline features as JSON; missing lists are empty ones, a missing event count is the visit count."""
+    lists = lambda k, kind: F.coalesce(c[k], F.array().cast(kind)).alias(k)
+    parts = [c["visit_count"].alias("visit_count"), F.coalesce(c["event_count"], c["visit_count"]).alias("event_count"), c["total_span_days"].alias("total_span_days"), lists("visit_gaps", "array<double>"), *[lists(f"{k}_keywords", "array<string>") for k in ("diagnosis", "surgery", "intervention", "complication", "severity")], lists("event_type_sequence", "array<string>"), c["surgery_type"].alias("surgery_type")]
+    return F.when(c.isNotNull(), F.to_json(F.struct(*parts)))
+
+
+def features_of_json(c: Column) -> Column:
+    """The struct of stored features; fields that older rows lack get defaults: one visit, as many events as visits, no span."""
+    x = F.from_json(c, FEATURE_TYPES)
+    visits = F.coalesce(x["visit_count"], F.lit(1))
+    defaults = {"visit_count": visits, "event_count": F.coalesce(x["event_count"], visits), "total_span_days": F.coalesce(x["total_span_days"], F.lit(0.0)), "visit_gaps": F.coalesce(x["visit_gaps"], F.array().cast("array<double>")), "event_type_sequence": F.coalesce(x["event_type_sequence"], F.array().cast("array<string>")), "surgery_type": x["surgery_type"]}
+    sets_ = {f"{k}_keywords": F.array_sort(F.array_distinct(F.coalesce(x[f"{k}_keywords"], F.array().cast("array<string>")))) for k in ("diagnosis", "surgery", "intervention", "complication", "severity")}
+    return F.when(c.isNotNull(), F.struct(*[v.alias(k) for k, v in (defaults | sets_).items()]))
+
+
+def vectors_in_order(stored: DataFrame) -> DataFrame:
+    """record_id, feature_vector, place (0 up) by record_order_index, then record_id; rows without a vector are left out.
+
+    Places come from counts of ranges of the index, so no task sees all rows.
+    """
+    ordered = stored.where("feature_vector is not null").select("record_id", "feature_vector", F.coalesce("record_order_index", F.lit(1 << 40)).alias("i"))
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ordered.repartitionByRange(parts, "i", "record_id").sortWithinPartitions("i", "record_id").withColumns({"part": F.spark_partition_id(), "id": F.monotonically_increasing_id()})
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("i", "record_id")) - 1
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
+    return dealt.withColumn("inside", inside).join(F.broadcast(before), "part").select("record_id", "feature_vector", (F.col("before") + F.col("inside")).alias("place"))
+
+
+def metadata(stored: DataFrame) -> DataFrame:
+    """record_id, raw_text, features of a case store."""
+    return stored.select("record_id", F.coalesce("raw_text", F.lit("")).alias("raw_text"), features_of_json(F.col("timeline_features")).alias("features"))
+
+
+def texts_by_id(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """record_id, raw_text of the ids (record_id); null text where the store lacks one."""
+    return ids.select("record_id").distinct().join(stored.select("record_id", "raw_text"), "record_id", "left")
+
+
+def stats(stored: DataFrame, threshold: float, index: str) -> DataFrame:
+    """total_records, threshold, feature_dim, index_type."""
+    return stored.agg(F.count("*").alias("total_records"), F.lit(threshold).alias("threshold"), F.coalesce(F.max(F.size("feature_vector")), F.lit(0)).alias("feature_dim"), F.lit(index).alias("index_type"))

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from meridia.operators.store import latest, upsert, write_swapped
-from meridia.plans.search import build
+from meridia.plans.cases import add_records
 
 
 def document_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -15,18 +13,10 @@ def document_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def start(stream: DataFrame, store: str, checkpoint: str):
-    """Upsert each micro-batch's built records into the table at store. A batch that runs twice gives the same table."""
+    """Upsert each micro-batch's built records into the stored table. A batch that runs twice gives the same table."""
 
     def put(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        built = build(latest(batch, "record_id", F.xxhash64("raw_text")))
-        try:
-            base = batch.sparkSession.read.parquet(store)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            base = built.limit(0)
-        write_swapped(upsert(base, built, "record_id"), store)
+        if not batch.isEmpty():
+            add_records(batch, store)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
