@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from meridia.functions.vectors import cosine
 from meridia.operators.retrieval import cosine_topk, ranked
 
-#: Rows that centroids are fitted on, their number, cells that a query visits, and rounds of fitting.
-SAMPLE, CELLS, PROBES, ROUNDS = 10_000, 100, 24, 12
+#: Rows that centroids are fitted on, their most, the share of cells that a query visits, and rounds of fitting. Vectors
+#: without clusters need as large a share; clustered ones find their neighbours in a few cells.
+SAMPLE, CELLS, VISITED, ROUNDS = 10_000, 100, 0.6, 12
 #: From so many rows on make_index() takes cells.
 EXACT_BELOW = 10_000
 
@@ -59,18 +60,18 @@ class CellIndex:
 
     cells: DataFrame
     centres: np.ndarray
-    probes: int = PROBES
+    probes: int
 
     @classmethod
-    def fit(cls, rows: DataFrame, probes: int = PROBES, cells: int = CELLS) -> CellIndex:
+    def fit(cls, rows: DataFrame, visited: float = VISITED, cells: int = CELLS) -> CellIndex:
         """rows: candidate_id, vector. The sample is the first SAMPLE rows by a hash of their id."""
         some = rows.where(F.size("vector") > 0).orderBy(F.xxhash64("candidate_id"), "candidate_id").limit(SAMPLE).select(F.col("vector").cast("array<double>").alias("vector")).toArrow().column("vector").combine_chunks()
         dim = len(some[0]) if len(some) else 1
-        centres = fitted_centroids(_unit(some, dim), min(cells, max(1, len(some)))) if len(some) else np.zeros((1, dim))
-        return cls(_with_cells(rows, "candidate_id", centres, 1), centres, probes)
+        centres = fitted_centroids(_unit(some, dim), min(cells, int(np.ceil(np.sqrt(len(some)))))) if len(some) else np.zeros((1, dim))
+        return cls(_with_cells(rows, "candidate_id", centres, 1), centres, int(np.ceil(visited * len(centres))))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        asked = _with_cells(queries, "query_id", self.centres, min(self.probes, len(self.centres))).withColumnRenamed("vector", "q")
+        asked = _with_cells(queries, "query_id", self.centres, self.probes).withColumnRenamed("vector", "q")
         met = asked.join(self.cells, "cell").where("query_id <> candidate_id")
         return ranked(met.select("query_id", "candidate_id", F.round(cosine("q", "vector"), 6).alias("similarity")), "similarity", k)
 
