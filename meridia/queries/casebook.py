@@ -151,7 +151,9 @@ def _windowed(spark, sf_dir):
 
 
 def window_stats(spark, sf_dir):
-    return embeddings._round(evaluation.window_stats(_windowed(spark, sf_dir)))
+    """Four places: a median of an even number of six-place values falls between two of these."""
+    w = evaluation.window_stats(_windowed(spark, sf_dir))
+    return w.select([F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in w.dtypes])
 
 
 def specialty_hits(spark, sf_dir):
@@ -219,7 +221,7 @@ _group = lambda c: f"list_filter(list_transform({c}, lambda x: case x {' '.join(
 _axis = "(case when len(a.ax) = 0 or len(b.ax) = 0 then 0.5 when len(list_intersect(a.ax, b.ax)) > 0 then 1.0 else 0.0 end)"
 _labelled = lambda word, c: f"list_transform(list_sort({c}), lambda x: '{word}' || x)"
 _WINDOWED = f"{embeddings._TOP}, x as (select query_id, candidate_id, rank, similarity, half_similarity as f, case when candidate_id % 3 > 0 then blend end as w, candidate_id % 3 = 0 as fell, case when query_label % 4 > 0 and query_label <> 1 then query_label end as ql, label from r)"
-_spread = lambda c, n: ", ".join(f"round({f}({c}), 6) as {n}_{k}" for k, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))
+_spread = lambda c, n: ", ".join(f"round({f}({c}), 4) as {n}_{k}" for k, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))
 _hit = lambda k: f"max(case when rank <= {k} and label = ql then 1.0 else 0.0 end)"
 _AROUND = len("请从以下 ICU 病历中抽取结构化病例卡。输出 JSON Schema：\n病历 ID：\n病历文本：\n") + len(context.CARD_FORM) + 5
 
@@ -242,7 +244,7 @@ ORACLES = {
     "askable_queries": "select vec_id::varchar as record_id, 'text ' || vec_id as raw_text from embeddings where vec_id % 4 <> 0",
     "cell_index_recall": "select 10 * count(*) as n, true as recall_at_least_09 from embeddings where vec_id % 50 = 0",
     "model_contexts": f"with x as (select c_custkey, c_custkey % 5 = 0 as short, c_name, '突发意识障碍 ' || c_name as s, '白细胞计数 12.5 高 2024' as w, '肌酐 ' || c_custkey || ' umol/L' as q from customer) select c_custkey, case when short then '短文 ' || c_name else '###chief_complaint:\n' || s || '\n\n###patient_info:\n甲\n\n###checkout(关键指标):\n' || q || ';\n' || w end as context, {_AROUND} as around from x",
-    "window_stats": f"with {_WINDOWED} select {_spread('w', 'window')}, {_spread('f', 'full')}, count_if(fell) as n_fallback, round(avg(fell::int), 6) as fallback_rate from x",
+    "window_stats": f"with {_WINDOWED} select {_spread('w', 'window')}, {_spread('f', 'full')}, count_if(fell) as n_fallback, round(avg(fell::int), 4) as fallback_rate from x",
     "specialty_hits": f"with {_WINDOWED} select round(avg(a), 6) as hit_at_1, round(avg(b), 6) as hit_at_3, round(avg(c), 6) as hit_at_5, count(*) as n_queries from (select query_id, {_hit(1)} as a, {_hit(3)} as b, {_hit(5)} as c from x where ql is not null group by 1)",
     "report_lines": f"with {embeddings._TOP} select query_id, 0 as place, '查询: ' || query_id || case when gap is null then '' else '; 排序置信度: ' || case when gap < 0.005 then 'low (Top-1/Top-2 分差过小，建议人工复核)' when gap < 0.015 then 'medium' else 'high' end end as line from g union all select query_id, rank, '匹配病例: ' || candidate_id || '; 综合相似度: ' || format('{{:.4f}}', round(similarity, 4)) from r",
     "timeline_lines": f"{events._E}, p as (select e.*, events.event_type as said, row_number() over (partition by record_id order by e.ts, event_seq)::int as place from e join events on event_id = event_seq) select record_id, place, lpad(place::varchar, 3, ' ') || '. [' || strftime(ts, '%m-%d %H:%M') || '] (' || event_type || repeat(' ', greatest(0, 12 - length(event_type))) || ') ' || said as line from p where place <= 20",
