@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,9 +50,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps whose DataFrames are no longer referenced."""
-    give_back()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of finished steps whose DataFrames are no longer referenced.
+
+    Listeners and the bridge to Python hold the last query until another one follows and they have seen it, so an empty
+    query and a pause come between two collections: after a single one the files of the last step stay through the next.
+    """
+    for wait in (1.0, 0.5):
+        give_back()
+        spark.range(1).count()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def give_back() -> None:
