@@ -49,12 +49,17 @@ def remove(spark: SparkSession, path: str) -> None:
     own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, pause: bool = True) -> None:
     """Let Spark's cleaner drop shuffle files of finished steps whose DataFrames are no longer referenced.
 
     Listeners and the bridge to Python hold the last query until another one follows and they have seen it, so an empty
     query and a pause come between two collections: after a single one the files of the last step stay through the next.
+    Without the pause there is but that one, for steps that write little.
     """
+    if not pause:
+        give_back()
+        spark.sparkContext._jvm.System.gc()
+        return
     for wait in (1.0, 0.5):
         give_back()
         spark.range(1).count()

@@ -307,7 +307,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = docs.join(wanted, "doc_id").select("digest", "text")
     sets = cut(texts.mapInArrow(lean(_set_rows), "digest long, elements binary").dropDuplicates(["digest"]))
     del texts, wanted
-    release(docs.sparkSession)
+    release(docs.sparkSession, pause=False)
     full = lambda x: sets.select(F.col("digest").alias(x), F.col("elements").alias(f"e{x}"))
     return cut(maybe.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ea", "eb").mapInArrow(lean(_verify), "a long, b long"))
 
@@ -442,7 +442,7 @@ def _spanning(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     posted = docs.mapInArrow(lean(_post(frequent, rank, seen, 4 * parts)), POSTED).repartition(parts, "bucket")
     found = cut(posted.mapInArrow(lean(_pairs_of_lists), POSTED))
     del posted, counts
-    release(spark)
+    release(spark, pause=False)
     rows = found.where("kind = 1").select("doc_id", "digest", "g", "n", "sig")
     classes = rows.select("doc_id", F.when(F.col("n") > 0, F.col("digest")).alias("digest"), F.col("n").cast("long").alias("n_shingles")).distinct()
     nodes = cut(rows.where("n > 0").groupBy("digest", "g", "n", "sig").agg(F.min("doc_id").alias("rep")))
@@ -454,7 +454,7 @@ def _spanning(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lead = lambda x: members.where("leader").select(F.col("g").alias(f"g{x}"), F.col("digest").alias(x))
     between = group_pairs.join(lead("a"), "ga").join(lead("b"), "gb").select("a", "b")
     links = _verified(docs, nodes, between.union(within))
-    release(spark)
+    release(spark, pause=False)
     # what is left: pairs across components, in large lists, in groups of several sets, and between groups of which only
     # leaders were expanded
     comp = nodes.select("digest", "g", "n", "sig").join(components(links), nodes.digest == F.col("node"), "left")
@@ -473,7 +473,7 @@ def _spanning(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lists = lists.unionByName(some.distinct().withColumn("q", F.lit(0).cast("long")))
     rest = cut(_crossing(lists.join(comp, "g").select("t", "digest", "n", "q", "c", "sig", "main")))
     del lists, some, in_lists, in_groups
-    release(spark)
+    release(spark, pause=False)
     if rest.isEmpty():
         return classes, nodes, links
     return classes, nodes, links.union(_verified(docs, nodes, rest))
