@@ -1,7 +1,8 @@
 """Language identification: scripts narrow the candidates, Viterbi labels spans of mixed-language text.
 
 Method. Per-word scores are log-likelihoods of the word's byte n-grams (with its borders) under each language, fitted on
-a bounded sample of labelled documents. A word's scripts (fixed code ranges) leave the languages that use them; words
+a bounded sample of labelled documents. Words are runs of letters and their marks, by Unicode category; punctuation and
+symbols part them in every script. A word's scripts (fixed code ranges) leave the languages that use them; words
 in scripts that no language uses tell nothing. Viterbi over the words, with a penalty per switch, labels spans. A text's
 language is the label of most letters; its score is their share.
 
@@ -11,7 +12,7 @@ any labelled text all are `und`. Repeated rows are judged each. Extra columns ar
 
 from __future__ import annotations
 
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +25,54 @@ from meridia.llm.samples import chosen, remainder, texts_of
 
 #: Documents of each language that the model is fitted on, buckets of n-grams, the longest n-gram, cost of a switch.
 PER_LANGUAGE, BUCKETS, LONGEST, SWITCH = 300, 1 << 16, 5, 8.0
-#: Letters for words: ASCII letters, and all bytes of other characters.
+#: Scripts by code ranges; letters outside them are `other`. A `mark` goes with any script and narrows nothing.
+RANGES = (
+    ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("latin", 0xFF21, 0xFF5A), ("mark", 0x300, 0x36F), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF),
+    ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x8FF), ("arabic", 0xFB50, 0xFDFF),
+    ("arabic", 0xFE70, 0xFEFE), ("indic", 0x900, 0xDFF), ("thai_lao", 0xE00, 0xEFF), ("tibetan", 0xF00, 0xFFF), ("georgian", 0x10A0, 0x10FF),
+    ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7FB), ("kana", 0x3041, 0x30FF), ("han", 0x3400, 0x9FFF), ("han", 0xF900, 0xFAFF), ("han", 0x20000, 0x3FFFF),
+)
+SCRIPTS = (*dict.fromkeys(name for name, _, _ in RANGES), "other")
+#: Bytes of words, after what isn't a letter has become a space.
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
-#: Script by the first byte of a character's UTF-8 form, by code ranges.
-LEADS = (("latin", 0x41, 0x7A), ("latin", 0xC2, 0xC9), ("greek", 0xCD, 0xCF), ("cyrillic", 0xD0, 0xD3), ("armenian_hebrew", 0xD4, 0xD7), ("arabic", 0xD8, 0xDD), ("indic", 0xE0, 0xE0), ("other", 0xE1, 0xE2), ("kana", 0xE3, 0xE3), ("han", 0xE4, 0xE9), ("hangul", 0xEA, 0xED), ("other", 0xEE, 0xF4))
-SCRIPTS = tuple(dict.fromkeys(name for name, _, _ in LEADS))
-SCRIPT_BIT = np.zeros(256, np.uint16)
-for _name, _a, _b in LEADS:
-    SCRIPT_BIT[_a : _b + 1] = 1 << SCRIPTS.index(_name)
+
+
+def _script_table() -> np.ndarray:
+    """Per code point its script's bit, 0 for what isn't a letter or a mark on one; ASCII digits and marks have none."""
+    points = 0x40000
+    bits = np.zeros(points, np.uint32)
+    bits[[c for c in range(points) if unicodedata.category(chr(c))[0] in "LM"]] = 1 << SCRIPTS.index("other")
+    for name, a, b in RANGES:
+        own = bits[a : b + 1]
+        own[own > 0] = 1 << SCRIPTS.index(name)
+    return bits
+
+
+SCRIPT_OF = _script_table()
+
+
+def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes with A-Z lower-cased and characters above 0x7F that aren't letters as spaces; a script's bit at each letter's first byte."""
+    out = LOWER[data]
+    bits = np.where(data < 128, SCRIPT_OF[data & 127], np.uint32(0))
+    at = np.flatnonzero(data >= 0xC0)
+    if not len(at):
+        return out, bits
+    lead = data[at].astype(np.int64)
+    more = 1 + (lead >= 0xE0) + (lead >= 0xF0)
+    point = lead & (0x3F >> more)
+    for k in range(1, 4):
+        has = more >= k
+        point[has] = point[has] << 6 | data[at[has] + k] & 0x3F
+    bits[at] = np.where(point < len(SCRIPT_OF), SCRIPT_OF[np.minimum(point, len(SCRIPT_OF) - 1)], 0)
+    gone = bits[at] == 0
+    for k in range(4):
+        has = gone & (more >= k)
+        out[at[has] + k] = 32
+    return out, bits
+
+
 #: A language uses a script if it makes at least this share of its letters.
 USES = 0.002
 
@@ -41,7 +81,7 @@ class Words:
     """The distinct words of a chunk, and where they stand."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        data = LOWER[data]
+        data, bits = letters(data)
         start, end, self.first = word_spans(data, offsets, LETTER)
         self.lengths = end - start
         hashes = span_hash(prefix_hash(data), start, end) if len(start) else np.zeros(0, np.uint64)
@@ -53,9 +93,11 @@ class Words:
         self.bytes = np.zeros(int((n + 2).sum()), np.uint8)
         inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         self.bytes[inside + np.repeat(at + 1, n)] = data[inside + np.repeat(s, n)]
+        own = np.zeros(len(self.bytes), np.uint32)
+        own[inside + np.repeat(at + 1, n)] = bits[inside + np.repeat(s, n)]
         self.of = np.repeat(np.arange(len(s)), n + 2)
         self.n = len(s)
-        self.scripts = np.bitwise_or.reduceat(SCRIPT_BIT[self.bytes], at) if len(s) else np.zeros(0, np.uint16)
+        self.scripts = np.bitwise_or.reduceat(own, at) if len(s) else np.zeros(0, np.uint32)
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(word, bucket) of all n-grams of each length."""
@@ -86,9 +128,9 @@ class Model:
                 times = np.bincount(w.word, minlength=w.n)
                 for of, bucket in w.grams():
                     counts[:, k] += np.bincount(bucket, times[of], BUCKETS)
-                for s, c in Counter(SCRIPT_BIT[raw].tolist()).items():
-                    if s:
-                        scripts[int(s).bit_length() - 1, k] += c
+                bits = letters(raw)[1]
+                for s in range(len(SCRIPTS)):
+                    scripts[s, k] += np.count_nonzero(bits == 1 << s)
         logs = np.log(counts / np.maximum(counts.sum(0), 1e-9))
         self.logs = (logs - logs.mean(1, keepdims=True)).astype(np.float32) if self.languages else logs.astype(np.float32)
         self.uses = scripts >= USES * np.maximum(scripts.sum(0), 1)
@@ -101,7 +143,7 @@ class Model:
                 out[:, k] += np.bincount(of, self.logs[bucket, k], w.n)
         # languages that use all of a word's scripts stay; where none does, the word tells nothing
         fits = np.ones_like(out, bool)
-        for s in range(len(SCRIPTS)):
+        for s in (k for k, name in enumerate(SCRIPTS) if name != "mark"):
             has = (w.scripts >> s & 1).astype(bool)
             fits[has] &= self.uses[s]
         none = ~fits.any(1)

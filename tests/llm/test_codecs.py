@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import regex as re
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,3 +165,18 @@ def test_language_spans_and_scripts():
     got = lid.spans(model, "the house is on the hill " * 3 + "das haus steht auf dem berg " * 3 + "дом стоит на горе")
     assert [x[2] for x in got] == ["en", "de", "ru"]
     assert got[2][1] == 4
+
+
+def test_language_letters_by_category_and_range():
+    text = "“Größe” — naïve…×÷ Дом，家。カナ 한글 हिंदी ไทย 😀 ½ № ａＢ don’t"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    w = lid.Words(raw, np.array([0, len(raw)]))
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    want = re.findall(r"[\p{L}\p{M}]+", lower(text))
+    said = [bytes(w.bytes[w.of == k]).strip(b"\0").decode() for k in w.word]
+    assert said == want
+    script = {said[k]: {lid.SCRIPTS[s] for s in range(len(lid.SCRIPTS)) if w.scripts[w.word[k]] >> s & 1} for k in range(len(said))}
+    assert script["größe"] == script["don"] == script["ａＢ"] == {"latin"} and script["Дом"] == {"cyrillic"}
+    assert script["家"] == {"han"} and script["カナ"] == {"kana"} and script["한글"] == {"hangul"} and script["हिंदी"] == {"indic"} and script["ไทย"] == {"thai_lao"}
+    nothing = np.frombuffer("“—” 😀 12 ₤".encode(), np.uint8)
+    assert lid.Words(nothing, np.array([0, len(nothing)])).n == 0
