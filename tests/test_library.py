@@ -1,10 +1,13 @@
 """The library's own queries against SQL, and golden cases of its scores."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from parity import compare, connect
 from pyspark.sql import functions as F
 
-from meridia import catalog
+from meridia import catalog, vocab
 from meridia.functions import sets, text
 from meridia.operators import retrieval, timeline
 
@@ -18,8 +21,26 @@ def test_against_sql(spark, name):
 
 def test_sequences():
     a, b = ["admission", "lab", "surgery", "lab"], ["admission", "surgery", "lab", "transfer"]
-    assert timeline.lcs_weight(a, b) == 5.5 and timeline.lcs_similarity(a, b) == pytest.approx(5.5 / 7.5)
-    assert timeline.lcs_similarity([], b) == 0 == timeline.lcs_similarity(None, b)
+    of = lambda *lists: pa.array(lists, pa.list_(pa.string()))
+    assert timeline.lcs_similarities(of(a, [], None, ["other"]), of(b, b, b, ["other", None])).tolist() == pytest.approx([5.5 / 7.5, 0, 0, 0.5])
+    assert len(timeline.lcs_similarities(of(), of())) == 0
+
+
+def test_sequences_equal_a_table_per_pair():
+    r, kinds = random.Random(3), [*vocab.EVENT_WEIGHTS, "unheard"]
+    weight = lambda k: vocab.EVENT_WEIGHTS.get(k, 1.0)
+
+    def plain(x, y):
+        best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight(p) * (p == q))
+        return best[-1][-1] / max(sum(map(weight, s)) for s in (x, y)) if x and y else 0.0
+
+    lists = [[r.choice(kinds) for _ in range(r.choice([0, 1, 5, 30]))] for _ in range(2 * timeline.BLOCK + 500)]
+    n = len(lists) // 2
+    got = timeline.lcs_similarities(pa.array(lists[:n], pa.list_(pa.string())), pa.array(lists[n:], pa.list_(pa.string())))
+    assert got.tolist() == pytest.approx([plain(x, y) for x, y in zip(lists[:n], lists[n:], strict=True)])
 
 
 def test_golden_scores(spark):
