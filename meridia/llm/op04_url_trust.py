@@ -3,7 +3,9 @@
 Method. A page's verdict is its longest fitting rule's. For pages without a rule, hosts carry two scores over the edges
 that absolute links of their pages draw: trust, a personalised PageRank from hosts with allowed pages, follows links;
 distrust, from hosts with blocked pages, runs against them. Each seed weighs as the share of its host's pages. A host
-whose distrust exceeds its trust and reaches the threshold is blocked. All of it is DataFrame operations.
+whose distrust exceeds its trust and reaches the threshold is blocked. All of it is DataFrame operations. Scores are
+PageRank times the sum of all seeds over 1 - DAMPING, which changes no order of hosts: in this unit one wholly blocked host
+has 1 of its own, so the threshold means the same however many hosts and seeds there are, and arrivals may exceed 1.
 
 Defined results. A null url, or one without "://", has an empty host and path, fits no rule, and takes the verdict of
 the empty host. Hosts without seeds and links are allowed. Repeated rows are judged each. Extra columns are ignored.

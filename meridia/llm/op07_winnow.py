@@ -6,7 +6,8 @@ with the benchmark's on the words themselves, which extends each hit to its whol
 item of fewer than 10 words is one window; for it, the document's windows of that length are fingerprints.
 
 Defined results. Null and empty texts have no words: no hits, an empty item list. A document that occurs in several
-equal rows counts once. Extra columns are ignored; an empty benchmark leaves every document clean.
+equal rows counts once. Extra columns are ignored; an empty benchmark leaves every document clean. Windows of an item
+without an id are hits, but name no item.
 """
 
 from __future__ import annotations
@@ -68,10 +69,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = texts.join(wanted, "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("words"))
     own = near.select("doc_id", F.explode(_spans(F.col("words"), lengths)).alias("s")).select("doc_id", "s.at", "s.len", "s.span")
     of_items = items.select("item_id", F.explode(F.when(F.size("words") < WINDOW, F.array(F.concat_ws(" ", "words"))).otherwise(grams(F.col("words"), WINDOW, lambda x: F.concat_ws(" ", x)))).alias("span"), F.least(F.size("words"), F.lit(WINDOW)).alias("len")).distinct()
-    keys = of_items.select("span", "len").distinct().withColumn("key", F.struct("len", F.xxhash64("span"), F.sha2("span", 256)))
-    hits = cut(own.join(keys, ["span", "len"]).select("doc_id", "at", "len", "key").distinct())
-    named = of_items.join(keys, ["span", "len"]).select("key", "item_id")
-    found = hits.select("doc_id", "key").distinct().join(named, "key").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
+    # windows of the same items share a set: a document meets a set once, however many of its windows it holds
+    keys = of_items.groupBy("span", "len").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    keys = cut(keys.withColumn("set", F.sha2(F.array_join("items", ","), 256)))
+    hits = cut(own.join(keys.select("span", "len", "set"), ["span", "len"]).select("doc_id", "at", "len", "set").distinct())
+    sets = keys.select("set", "items").dropDuplicates(["set"])
+    found = hits.select("doc_id", "set").distinct().join(sets, "set").select("doc_id", F.explode("items").alias("item")).distinct()
     found = found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
     order = Window.partitionBy("doc_id").orderBy("at", "len")
     end = F.col("at") + F.col("len")

@@ -151,6 +151,8 @@ def test_winnow(spark):
     frame = spark.createDataFrame([(i, t, 1, 1) for i, t in docs] * 2, "doc_id long, text string, grams int, words int")
     got = op07_winnow.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"))
     assert {x[0]: tuple(x[1:]) for x in got.collect()} == brute_winnow(docs, items)
+    nameless = op07_winnow.decontaminate(spark.createDataFrame([(1, "a w1 w2 w3 b")], "doc_id long, text string"), spark.createDataFrame([(None, "w1 w2 w3"), (7, "b")], "item_id long, text string")).first()
+    assert (nameless.n_hit, nameless.n_items, nameless.items_sha256) == (4, 1, hashlib.sha256(b"7").hexdigest())
     none = op07_winnow.decontaminate(frame, spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(none) == len(docs) and not any(x.contaminated for x in none)
     assert op07_winnow.decontaminate(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
