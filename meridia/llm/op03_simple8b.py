@@ -54,13 +54,14 @@ def _words_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
         free = np.diff(np.append(new, len(pos))) - COUNTS[s] + 1  # places of the run where a word of this kind can start
         first, free = pos[new][free > 0], free[free > 0]
         choice[np.repeat(first - (np.cumsum(free) - free), free) + np.arange(int(free.sum()))] = s
-    step = np.append(COUNTS, 1)[choice].tolist()
-    at, i = [], 0
-    add = at.append
-    while i < n:
-        add(i)
-        i += step[i]
-    at = np.array(at, np.int64)
+    step = np.append(COUNTS, 1)[choice]
+    is_word, at, last = np.zeros(n, bool), starts, ends
+    while len(at):  # all blocks step from word to word at once
+        is_word[at] = True
+        at = at + step[at]
+        inside = at < last
+        at, last = at[inside], last[inside]
+    at = np.flatnonzero(is_word)
     sel = choice[at].astype(np.int64)
     if (sel == ESCAPE).any():
         parts = [_with_escapes(ids, at[x:y], sel[x:y]) for x, y in zip(np.searchsorted(at, starts), np.searchsorted(at, ends), strict=True)]

@@ -69,46 +69,100 @@ class Pieces:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.held = 0
+        self.n = 0  # pieces, each with a hash and bytes, which are compared whenever it is met
+        self.slots = np.full(1 << 15, -1, np.int32)  # places by hash: the slot of its low bits, or the next free one
+        self.hash, self.begin, self.length = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.said, self.held = np.zeros(1 << 16, np.uint8), 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, pieces: list[bytes]) -> None:
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of hashes, -1 for those not known."""
+        last = len(self.slots) - 1
+        out, todo, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), (keys & np.uint64(last)).astype(np.int64)
+        while len(todo):
+            place = self.slots[slot]
+            hit = (self.hash[place] == keys[todo]) & (place >= 0)
+            out[todo[hit]] = place[hit]
+            on = (place >= 0) & ~hit
+            todo, slot = todo[on], (slot[on] + 1) & last
+        return out
+
+    def _enter(self, first: int, stop: int) -> None:
+        """Give slots to the places from first to stop; their hashes are distinct and have none."""
+        if 2 * stop > len(self.slots):
+            self.slots, first = np.full(1 << int(4 * stop - 1).bit_length(), -1, np.int32), 0
+        last = len(self.slots) - 1
+        place = np.arange(first, stop, dtype=np.int32)
+        slot = (self.hash[place] & np.uint64(last)).astype(np.int64)
+        while len(place):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = place[free]
+            left = self.slots[slot] != place
+            place, slot = place[left], (slot[left] + 1) & last
+
+    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encode pieces and remember them; those of a blank and letters are encoded many at once, joined."""
-        joint = [p for p in pieces if p[0] == 32 and len(p) > 1 and _CLASS[p[1]] == LETTER]
-        alone = [p for p in pieces if not (p[0] == 32 and len(p) > 1 and _CLASS[p[1]] == LETTER)]
+        together = [p[0] == 32 and len(p) > 1 and _CLASS[p[1]] == LETTER for p in pieces]
+        joint, alone = np.flatnonzero(together).tolist(), np.flatnonzero(~np.array(together)).tolist()
         x = 0
         while x < len(joint):
             y, size = x, 0
             while y < len(joint) and size < JOINED:
-                size += len(joint[y])
+                size += len(pieces[joint[y]])
                 y += 1
-            ids = np.array(self.encode([b"".join(joint[x:y]).decode()])[0], np.uint32)
+            own = [pieces[k] for k in joint[x:y]]
+            ids = np.array(self.encode([b"".join(own).decode()])[0], np.uint32)
             ends = np.cumsum(self.sizes[ids])
-            want = np.cumsum([len(p) for p in joint[x:y]])
+            want = np.cumsum([len(p) for p in own])
             at = np.searchsorted(ends, want)
             if len(ids) and at[-1] == len(ids) - 1 and (ends[at] == want).all():
-                self._keep(joint[x:y], ids, np.diff(at, prepend=-1))
+                self._keep(keys[joint[x:y]], own, ids, np.diff(at, prepend=-1))
             else:
                 alone += joint[x:y]
             x = y
         if alone:
-            made = self.encode([p.decode() for p in alone])
-            self._keep(alone, np.array([i for m in made for i in m], np.uint32), np.array([len(m) for m in made], np.int64))
+            own = [pieces[k] for k in alone]
+            made = self.encode([p.decode() for p in own])
+            self._keep(keys[alone], own, np.array([i for m in made for i in m], np.uint32), np.array([len(m) for m in made], np.int64))
 
-    def _keep(self, pieces: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        k, n = len(self.known), len(pieces)
+    def _keep(self, keys: np.ndarray, pieces: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        k, n = self.n, len(pieces)
+        lengths, raw = np.array([len(p) for p in pieces], np.int64), np.frombuffer(b"".join(pieces), np.uint8)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.held + len(raw) > len(self.said):
+            self.said = np.concatenate([self.said, np.zeros_like(self.said)])
         while k + n > len(self.first):
-            self.first, self.count = (np.concatenate([v, np.zeros_like(v)]) for v in (self.first, self.count))
+            self.first, self.count, self.hash, self.begin, self.length = (np.concatenate([v, np.zeros_like(v)]) for v in (self.first, self.count, self.hash, self.begin, self.length))
         self.ids[self.used : self.used + len(ids)] = ids
+        self.said[self.held : self.held + len(raw)] = raw
         self.first[k : k + n] = self.used + np.cumsum(counts) - counts
-        self.count[k : k + n] = counts
+        self.begin[k : k + n] = self.held + np.cumsum(lengths) - lengths
+        self.count[k : k + n], self.length[k : k + n], self.hash[k : k + n] = counts, lengths, keys
         self.used += len(ids)
-        self.held += sum(map(len, pieces))
-        self.known.update(zip(pieces, range(k, k + n), strict=True))
+        self.held += len(raw)
+        self.n += n
+        self._enter(k, self.n)
+
+    def _places(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The places of distinct pieces; those not known are encoded first."""
+        place = self._find(keys)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw = data.tobytes()
+            self._add(keys[new], [raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            place[new] = self._find(keys[new])
+        return place
+
+    def _same(self, place: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bool:
+        """Whether the pieces remembered at these places have the same bytes as these spans."""
+        n = end - start
+        if not np.array_equal(self.length[place], n):
+            return False
+        of = np.cumsum(n) - n
+        at = np.arange(int(n.sum()))
+        return np.array_equal(self.said[np.repeat(self.begin[place] - of, n) + at], data[np.repeat(start - of, n) + at])
 
     def rows(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each row, joined, and how many each has."""
@@ -119,14 +173,14 @@ class Pieces:
         codes, distinct = pd.factorize(span_hash(prefix_hash(data), start, end))
         some = np.zeros(len(distinct), np.int64)
         some[codes] = np.arange(len(codes))  # one place of each distinct piece
-        raw = data.tobytes()
-        pieces = [raw[x:y] for x, y in zip(start[some].tolist(), end[some].tolist(), strict=True)]
-        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
+        if self.n > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self._forget()
+        own = start[some], end[some]
+        place = self._places(distinct, data, *own)
+        if not self._same(place, data, *own):  # another piece with the same hash was met before
             self._forget()
-        get = self.known.get
-        if missing := [p for p in pieces if get(p) is None]:
-            self._add(missing)
-        place = np.array([*map(self.known.__getitem__, pieces)], np.int64)[codes]
+            place = self._places(distinct, data, *own)
+        place = place[codes]
         count = self.count[place]
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(self.first[place] - total[:-1], count) + np.arange(int(total[-1]))]
