@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from meridia.plans.stage import materialised
+
 
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per key: the last by order."""
@@ -145,15 +147,17 @@ def features_of_json(c: Column) -> Column:
 def vectors_in_order(stored: DataFrame) -> DataFrame:
     """record_id, feature_vector, place (0 up) by record_order_index, then record_id; rows without a vector are left out.
 
-    Places come from counts of ranges of the index, so no task sees all rows.
+    Places come from counts of ranges of the index, so no task sees all rows. The ranges are written once: bounds come
+    from a sample, and another run over the same rows may draw other ones.
     """
     ordered = stored.where("feature_vector is not null").select("record_id", "feature_vector", F.coalesce("record_order_index", F.lit(1 << 40)).alias("i"))
     parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = ordered.repartitionByRange(parts, "i", "record_id").sortWithinPartitions("i", "record_id").withColumns({"part": F.spark_partition_id(), "id": F.monotonically_increasing_id()})
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("i", "record_id")) - 1
+    dealt = ordered.repartitionByRange(parts, "i", "record_id").sortWithinPartitions("i", "record_id")
+    # a partition's rows are numbered in their order in the lower 33 bits
+    dealt = materialised(dealt.select("record_id", "feature_vector", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("inside")))
     sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
-    return dealt.withColumn("inside", inside).join(F.broadcast(before), "part").select("record_id", "feature_vector", (F.col("before") + F.col("inside")).alias("place"))
+    return dealt.join(F.broadcast(before), "part").select("record_id", "feature_vector", (F.col("before") + F.col("inside")).alias("place"))
 
 
 def metadata(stored: DataFrame) -> DataFrame:
