@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.functions.vectors import rounded
 from meridia.operators import evaluation, store
 from meridia.operators.retrieval import confidence
 from meridia.plans.search import build, search
@@ -56,7 +57,7 @@ def report_lines(results: DataFrame) -> DataFrame:
     note = F.when(F.col("sure") == "low", F.lit(" (Top-1/Top-2 分差过小，建议人工复核)")).otherwise("")
     head = sure.select("query_id", F.lit(0).alias("place"), F.concat(F.lit("查询: "), F.col("query_id").cast("string"), F.when(F.col("gap").isNotNull(), F.concat(F.lit("; 排序置信度: "), F.col("sure"), note)).otherwise("")).alias("line"))
     shown = {"综合相似度": "similarity", "基础融合分": "base_similarity", "向量相似度": "vector_similarity", "病程相似度": "timeline_similarity", "排序奖励": "ranking_bonus", "排序惩罚": "ranking_penalty"}
-    parts = [F.concat(F.lit(f"{k}: "), F.coalesce(F.format_string("%.4f", F.round(v, 4)), F.lit("-"))) for k, v in shown.items() if v in results.columns]
+    parts = [F.concat(F.lit(f"{k}: "), F.coalesce(F.format_string("%.4f", rounded(F.col(v), 4)), F.lit("-"))) for k, v in shown.items() if v in results.columns]
     body = results.select("query_id", F.col("rank").alias("place"), F.concat_ws("; ", F.concat(F.lit("匹配病例: "), F.col("candidate_id").cast("string")), *parts).alias("line"))
     return head.unionByName(body)
 
