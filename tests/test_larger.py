@@ -5,17 +5,17 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from meridia.operators import store
+from meridia.operators import index, retrieval
 from meridia.plans import cases
+from meridia.queries import casebook
 
 
-def test_places_of_more_rows_than_a_sample_of_ranges(spark):
+def test_places_of_more_rows_than_a_sample_of_ranges(spark, tmp_path):
     # ranges of an index are drawn from a sample as soon as there are more rows than it takes
     n = 40_000
-    rows = spark.range(n).select(F.col("id").cast("string").alias("record_id"), F.array(F.col("id").cast("double")).alias("feature_vector"), (F.xxhash64("id") % 1_000_003).alias("record_order_index"))
-    got = store.vectors_in_order(rows).select("record_id", "place").collect()
-    order = sorted((r.record_order_index, r.record_id) for r in rows.select("record_id", "record_order_index").collect())
-    assert {r.record_id: r.place for r in got} == {i: k for k, (_, i) in enumerate(order)}
+    spark.range(0, n, 1, 12).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = casebook.ordered_vectors(spark, str(tmp_path)).collect()
+    assert {r.record_id: r.place for r in got} == {str(i): n - 1 - i for i in range(n)}
 
 
 def test_scores_of_report_lines_are_rounded_as_doubles(spark):
@@ -28,3 +28,56 @@ def test_scores_of_report_lines_are_rounded_as_doubles(spark):
         return f"{math.copysign((whole + (abs(x) * 10_000.0 - whole >= 0.5)) / 10_000.0, x):.4f}"
 
     assert got == {k: shown(s) for k, s in enumerate(scores)}
+
+
+def vectors(spark, n):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(n, 8)).round(1)
+    v[5::7] = v[:1]  # ties
+    v[11] = 0.0
+    return v, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "candidate_id long, vector array<double>")
+
+
+def best_of(v, q, k):
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    return sorted(((-round(float(u[q] @ u[c]), 6), c) for c in range(len(v)) if c != q))[:k]
+
+
+def test_search_holds_few_products_at_once(spark, monkeypatch):
+    v, rows = vectors(spark, 400)
+    queries = rows.where("candidate_id % 10 = 0 or candidate_id = 11").withColumnRenamed("candidate_id", "query_id")
+    want = {(q, c): -s for q in [*range(0, 400, 10), 11] for s, c in best_of(v, q, 12)}
+    most = []
+    monkeypatch.setattr(retrieval, "PRODUCTS", 500)
+    meet = retrieval._Best._meet
+    monkeypatch.setattr(retrieval._Best, "_meet", lambda self, of, own, others: most.append(len(of) * len(own)) or meet(self, of, own, others))
+    u = retrieval._unit(v)
+    best = retrieval._Best(np.arange(400), u, 12, True)
+    best.meet(np.arange(400), u)
+    assert max(most) <= 500 and len(most) > 300
+    i, c, s = (x.to_numpy() for x in best.found())
+    assert all([x for x, y in zip(c, i, strict=True) if y == q] == [x for _, x in best_of(v, q, 12)] for q in range(400))
+    for held in (1 << 26, 10 * 8 * 24):  # broadcast, and in blocks
+        monkeypatch.setattr(retrieval, "BLOCK_BYTES", held)
+        got = retrieval.cosine_topk(queries, rows, 12).collect()
+        assert {(r.query_id, r.candidate_id) for r in got} == set(want)
+        assert all(abs(r.similarity - want[r.query_id, r.candidate_id]) < 2e-6 for r in got)
+
+
+def test_cells_meet_as_matrices_not_as_rows(spark, monkeypatch):
+    v, rows = vectors(spark, 400)
+    queries = rows.where("candidate_id % 10 = 0").withColumnRenamed("candidate_id", "query_id")
+    whole = index.CellIndex.fit(rows, visited=1.0)
+    for held in (1 << 26, 10 * 8 * 24):
+        monkeypatch.setattr(retrieval, "BLOCK_BYTES", held)
+        found = whole.search(queries, 12)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.query_id, r.candidate_id) for r in found.collect()}
+        assert got == {(q, c) for q in range(0, 400, 10) for _, c in best_of(v, q, 12)}
+    # a query sees only the rows of the cells it visits
+    part = index.CellIndex.fit(rows, visited=0.2)
+    u = retrieval._unit(v)
+    near = np.argsort(-(u @ part.centres.T), axis=1, kind="stable")
+    of = near[:, 0]
+    for r in part.search(queries, 5).collect():
+        assert of[r.candidate_id] in near[r.query_id, : part.probes]
