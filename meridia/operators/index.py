@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.functions.vectors import cosine
-from meridia.operators.retrieval import cosine_topk, ranked
+from meridia.operators.retrieval import _matrix, _unit, cosine_topk
 
 #: Rows that centroids are fitted on, their most, the share of cells that a query visits, and rounds of fitting. Vectors
 #: without clusters need as large a share; clustered ones find their neighbours in a few cells.
@@ -35,12 +34,6 @@ class ExactIndex:
         return self.rows.count()
 
 
-def _unit(col: pa.Array, dim: int) -> np.ndarray:
-    x = np.array([v if v is not None and len(v) == dim else [0.0] * dim for v in col.to_pylist()], np.float64).reshape(-1, dim)
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
-
 def fitted_centroids(sample: np.ndarray, cells: int, seed: int = 42) -> np.ndarray:
     """Spherical k-means of unit rows; empty cells keep their place."""
     start = np.random.default_rng(seed).permutation(len(sample))[:cells]
@@ -67,29 +60,39 @@ class CellIndex:
         """rows: candidate_id, vector. The sample is the first SAMPLE rows by a hash of their id."""
         some = rows.where(F.size("vector") > 0).orderBy(F.xxhash64("candidate_id"), "candidate_id").limit(SAMPLE).select(F.col("vector").cast("array<double>").alias("vector")).toArrow().column("vector").combine_chunks()
         dim = len(some[0]) if len(some) else 1
-        centres = fitted_centroids(_unit(some, dim), min(cells, int(np.ceil(np.sqrt(len(some)))))) if len(some) else np.zeros((1, dim))
-        return cls(_with_cells(rows, "candidate_id", centres, 1), centres, int(np.ceil(visited * len(centres))))
+        centres = fitted_centroids(_unit(_matrix(some, dim)), min(cells, int(np.ceil(np.sqrt(len(some)))))) if len(some) else np.zeros((1, dim))
+        return cls(_with_cells(rows, "candidate_id", centres), centres, int(np.ceil(visited * len(centres))))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        asked = _with_cells(queries, "query_id", self.centres, self.probes).withColumnRenamed("vector", "q")
-        met = asked.join(self.cells, "cell").where("query_id <> candidate_id")
-        return ranked(met.select("query_id", "candidate_id", F.round(cosine("q", "vector"), 6).alias("similarity")), "similarity", k)
+        centres, probes = self.centres, self.probes
+
+        def visits(units: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(units), len(centres)), bool)
+            for i in range(0, len(units), 1024):
+                np.put_along_axis(out[i : i + 1024], _nearest(units[i : i + 1024], centres, probes), True, axis=1)
+            return out
+
+        return cosine_topk(queries, self.cells, k, visits=visits)
 
     def size(self) -> int:
         return self.cells.count()
 
 
-def _with_cells(rows: DataFrame, key: str, centres: np.ndarray, n: int) -> DataFrame:
-    """One row per row and each of its n nearest cells: key, vector, cell."""
+def _nearest(units: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest cells of each unit row, ties by the cell's number."""
+    near = units @ centres.T
+    return near.argmax(1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
+
+
+def _with_cells(rows: DataFrame, key: str, centres: np.ndarray) -> DataFrame:
+    """key, vector, cell: rows with their nearest cell."""
     dim = centres.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            near = np.argsort(-(_unit(b.column(1), dim) @ centres.T), axis=1, kind="stable")[:, :n]
-            take = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(near.ravel().astype(np.int32))], [key, "vector", "cell"])
+            if b.num_rows:
+                cell = _nearest(_unit(_matrix(b.column(1), dim)), centres, 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32))], [key, "vector", "cell"])
 
     return rows.select(F.col(key).cast("long").alias(key), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, f"{key} long, vector array<double>, cell int")
 
