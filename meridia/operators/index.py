@@ -68,6 +68,8 @@ class CellIndex:
 
         def visits(units: np.ndarray) -> np.ndarray:
             out = np.zeros((len(units), len(centres)), bool)
+            if units.shape[1] != centres.shape[1]:  # an index without rows
+                return out
             for i in range(0, len(units), 1024):
                 np.put_along_axis(out[i : i + 1024], _nearest(units[i : i + 1024], centres, probes), True, axis=1)
             return out
