@@ -27,12 +27,12 @@ def _telling_parts(t: Column, section: str, words: list[str], longer_than: int,
     """Parts between semicolons of a section that name one of the words (in any case), by word, then by place, once each."""
     body = F.regexp_extract(t, rf"(?s)###{section}[：:](.*?)(?=###[a-zA-Z_]|\z)", 1)
     parts = F.filter(F.transform(F.split(body, ";"), text.stripped), lambda p: F.length(p) > longer_than)
-    by_word = F.transform(sets.literals(words), lambda w: F.filter(parts, lambda p: F.contains(F.lower(p), F.lower(w))))
-    return F.slice(F.array_distinct(F.flatten(by_word)), 1, most)
+    by_word = lambda ps: F.transform(sets.literals(words), lambda w: F.filter(ps, lambda p: F.contains(F.lower(p), F.lower(w))))
+    return F.slice(F.array_distinct(F.flatten(sets.once(parts, by_word))), 1, most)
 
 
 def _block(head: str, parts: Column, between: str) -> Column:
-    return F.when(F.size(parts) > 0, F.array(F.concat(F.lit(head), F.array_join(parts, between)))).otherwise(_none())
+    return sets.once(parts, lambda ps: F.when(F.size(ps) > 0, F.array(F.concat(F.lit(head), F.array_join(ps, between)))).otherwise(_none()))
 
 
 def model_context(c, limit: int = 15000) -> Column:
@@ -48,14 +48,13 @@ def model_context(c, limit: int = 15000) -> Column:
 
     def whole(chunks: Column) -> Column:
         corpus = F.when(F.size(chunks) > 0, F.array_join(chunks, "\n")).otherwise(t)
-        around = F.concat(*[F.when(F.contains(corpus, F.lit(w)), text.windows(corpus, w, 120, len(w) + 200, 3)).otherwise(_none()) for w in vocab.CONTEXT_WORDS])
+        around = sets.once(corpus, lambda c: text.all_windows(c, vocab.CONTEXT_WORDS, 120, lambda w: F.length(w) + 200, 3))
         around = F.slice(F.array_distinct(F.filter(F.transform(around, text.stripped), lambda x: F.length(x) > 20)), 1, 40)
         parts = F.concat(chunks, _block("###关键词上下文:\n", around, "\n---\n"))
-        joined = F.regexp_replace(F.regexp_replace(F.array_join(parts, "\n\n"), r"\n{3,}", "\n\n"), r"[ \t]{2,}", " ")
-        return F.when(F.size(parts) > 0, F.substring(joined, 1, limit)).otherwise(F.substring(t, 1, limit))
+        joined = lambda ps: F.regexp_replace(F.regexp_replace(F.array_join(ps, "\n\n"), r"\n{3,}", "\n\n"), r"[ \t]{2,}", " ")
+        return sets.once(parts, lambda ps: F.when(F.size(ps) > 0, F.substring(joined(ps), 1, limit)).otherwise(F.substring(t, 1, limit)))
 
-    # the chunks are worked out once, as the only element of an array that a lambda takes apart
-    return F.element_at(F.transform(F.array(F.concat(sections, labs, orders)), whole), 1)
+    return sets.once(F.concat(sections, labs, orders), whole)
 
 
 def prompt(context: Column, record_id: Column | None = None, form: str = CARD_FORM) -> Column:

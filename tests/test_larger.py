@@ -5,9 +5,10 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from meridia.operators import index, retrieval
+from meridia.functions import text
+from meridia.operators import index, retrieval, timeline
 from meridia.plans import cases
-from meridia.queries import casebook
+from meridia.queries import casebook, clinical
 
 
 def test_places_of_more_rows_than_a_sample_of_ranges(spark, tmp_path):
@@ -81,3 +82,24 @@ def test_cells_meet_as_matrices_not_as_rows(spark, monkeypatch):
     of = near[:, 0]
     for r in part.search(queries, 5).collect():
         assert of[r.candidate_id] in near[r.query_id, : part.probes]
+
+
+def test_small_files_of_costly_rows_are_dealt_to_many_tasks(spark, tmp_path):
+    # a file of few bytes is one split, and partitions of few bytes are put together: neither may be one task's work
+    rows = spark.range(40)
+    rows.select(F.col("id").alias("c_custkey"), F.concat(F.lit("甲"), "id").alias("c_name")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows.select(F.col("id").alias("o_orderkey"), (F.col("id") % 16).alias("o_custkey"), F.lit("2024-01-02").cast("timestamp").alias("o_orderdate")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for df in (casebook.model_contexts(spark, str(tmp_path)), clinical.documents(spark, str(tmp_path)), clinical._tags(spark, str(tmp_path))):
+        assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_doses_and_windows_by_columns_of_words(spark):
+    t = "###就诊记录 1/1 - 2024-01-02\n###doctor_advice: 丙泊酚 泵入。头孢 口服 7 林格 12.5ml 丙泊酚"
+    events = timeline.parse_events(spark.createDataFrame([("1", t), ("2", "###就诊记录 1/1 - 2024-01-02\n###doctor_advice: 丙泊酚 泵入")], "record_id string, raw_text string"))
+    got = {(r.record_id, r.data["drug"], r.data["dosage"]) for r in events.where("event_type = 'medication'").collect()}
+    assert got == {("1", "丙泊酚", "7"), ("1", "头孢", "7"), ("1", "林格", "12.5"), ("2", "丙泊酚", "")}
+    words = ["a.b", "\\E", "没有", "出血"]
+    one = spark.createDataFrame([("x a.b 出血 \\E 出血 axb",)], "t string")
+    each = [F.when(F.contains("t", F.lit(w)), text.windows(F.col("t"), w, 2, len(w) + 1, 3)).otherwise(F.array().cast("array<string>")) for w in words if w != "\\E"]
+    a, b = one.select(text.all_windows(F.col("t"), [w for w in words if w != "\\E"], 2, lambda w: F.length(w) + 1, 3), F.concat(*each)).first()
+    assert a == b == ["x a.b ", "b 出血 ", "E 出血 "]
