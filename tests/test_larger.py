@@ -1,12 +1,14 @@
 """Queries over more rows, odder values and narrower limits than the other tests give them."""
 
 import math
+import types
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from meridia.functions import text
-from meridia.operators import index, retrieval, timeline
+from meridia.operators import index, ngrams, retrieval, timeline
 from meridia.plans import cases
 from meridia.queries import casebook, clinical
 
@@ -103,3 +105,29 @@ def test_doses_and_windows_by_columns_of_words(spark):
     each = [F.when(F.contains("t", F.lit(w)), text.windows(F.col("t"), w, 2, len(w) + 1, 3)).otherwise(F.array().cast("array<string>")) for w in words if w != "\\E"]
     a, b = one.select(text.all_windows(F.col("t"), [w for w in words if w != "\\E"], 2, lambda w: F.length(w) + 1, 3), F.concat(*each)).first()
     assert a == b == ["x a.b ", "b 出血 ", "E 出血 "]
+
+
+def test_gram_counts_hold_one_text_at_a_time(monkeypatch):
+    held, most = [0], [0]
+
+    class Counts(np.ndarray):
+        def __del__(self):
+            held[0] -= self.base is None
+
+    def counts(t):
+        out = np.ones(len(t), np.int64).view(Counts).copy()
+        held[0] += 1
+        most[0] = max(most[0], held[0])
+        return None, out
+
+    class Texts:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run([pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["abc"] * 50)], ["id", "t"])]))
+
+    monkeypatch.setattr(ngrams, "gram_counts", counts)
+    monkeypatch.setattr(ngrams, "_without_space", lambda c: types.SimpleNamespace(alias=lambda _: None))
+    (batch,) = ngrams.counted(Texts())
+    assert batch.column(1).to_pylist() == [3] * 50 and most[0] <= 2
