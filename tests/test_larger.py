@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meridia.functions import text
 from meridia.operators import index, ngrams, retrieval, timeline
 from meridia.plans import cases
-from meridia.queries import casebook, clinical
+from meridia.queries import casebook, clinical, events
 
 
 def test_places_of_more_rows_than_a_sample_of_ranges(spark, tmp_path):
@@ -97,8 +97,8 @@ def test_small_files_of_costly_rows_are_dealt_to_many_tasks(spark, tmp_path):
 
 def test_doses_and_windows_by_columns_of_words(spark):
     t = "###就诊记录 1/1 - 2024-01-02\n###doctor_advice: 丙泊酚 泵入。头孢 口服 7 林格 12.5ml 丙泊酚"
-    events = timeline.parse_events(spark.createDataFrame([("1", t), ("2", "###就诊记录 1/1 - 2024-01-02\n###doctor_advice: 丙泊酚 泵入")], "record_id string, raw_text string"))
-    got = {(r.record_id, r.data["drug"], r.data["dosage"]) for r in events.where("event_type = 'medication'").collect()}
+    parsed = timeline.parse_events(spark.createDataFrame([("1", t), ("2", "###就诊记录 1/1 - 2024-01-02\n###doctor_advice: 丙泊酚 泵入")], "record_id string, raw_text string"))
+    got = {(r.record_id, r.data["drug"], r.data["dosage"]) for r in parsed.where("event_type = 'medication'").collect()}
     assert got == {("1", "丙泊酚", "7"), ("1", "头孢", "7"), ("1", "林格", "12.5"), ("2", "丙泊酚", "")}
     words = ["a.b", "\\E", "没有", "出血"]
     one = spark.createDataFrame([("x a.b 出血 \\E 出血 axb",)], "t string")
@@ -131,3 +131,28 @@ def test_gram_counts_hold_one_text_at_a_time(monkeypatch):
     monkeypatch.setattr(ngrams, "_without_space", lambda c: types.SimpleNamespace(alias=lambda _: None))
     (batch,) = ngrams.counted(Texts())
     assert batch.column(1).to_pylist() == [3] * 50 and most[0] <= 2
+
+
+def test_a_frequent_tag_set_is_no_single_task(spark, tmp_path):
+    spark.range(1, 1401).select(F.col("id").alias("c_custkey"), F.lit("甲").alias("c_name")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    out = clinical.tag_overlap(spark, str(tmp_path))
+    rows = out.select("query_id", "candidate_id", F.spark_partition_id().alias("p")).collect()
+    assert {(r.query_id, r.candidate_id) for r in rows} == {(q, c) for q in range(50, 1401, 50) for c in range(1, 1401) if q != c} and len(rows) == 28 * 1399
+    each = [sum(r.p == p for r in rows) for p in {r.p for r in rows}]
+    assert len(each) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(each) < 2 * len(rows) / len(each)
+
+
+def test_pairs_of_timelines_are_dealt_and_equal_ones_scored_once(spark, tmp_path, monkeypatch):
+    kinds = ["signup", "view", "click", "error", "purchase"]
+    rows = [(u * 20 + k, u, f"2024-01-{1 + (u % 3 + k) % 28:02d}", kinds[(u % 3 + k * k) % 5]) for u in range(120) for k in range(6)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, d string, event_type string")
+    df.select("event_id", F.to_timestamp("d").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("p").alias("props")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    score = timeline.with_timeline_score
+    monkeypatch.setattr(timeline, "with_timeline_score", lambda p, *a: seen.append(p.count()) or score(p, *a))
+    got = events.timeline_pairs(spark, str(tmp_path)).collect()
+    assert seen == [9]  # three kinds ask, three answer
+    want = {(q, c) for q in (0, 50, 100) for c in range(120) if q != c}
+    assert {(r.query_id, r.candidate_id) for r in got} == want and len(got) == len(want)
+    by_kind = {(r.query_id % 3, r.candidate_id % 3, r.seq_sim, r.timeline_similarity) for r in got}
+    assert len(by_kind) == 9 and all(s == 1.0 for a, b, s, _ in by_kind if a == b)
